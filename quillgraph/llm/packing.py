@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, slices, table, utf8
+from .common import arrow, saved, slices, table, utf8
 from .words import SPACE, Column, WordTable, hashes, spans
 
 SEQUENCE = 4096
@@ -254,12 +254,12 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     kind = chosen.schema.fields[0].dataType.simpleString()
     schema = f"`{key}` {kind}, {_OUT_SQL}"
     # written, so that a task that runs again can't pack what others have read in another order
-    first = saved(chosen.mapInArrow(first_pass, schema))
+    first = saved(arrow(chosen, first_pass, schema))
     loose = first.filter(~F.col("settled"))
     tokens = loose.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, math.ceil(tokens / SECOND_PASS_TOKENS))
     order = [F.desc("length"), F.col(key), "piece", "sequence_id", "offset"]
-    again = saved(loose.repartition(tasks).sortWithinPartitions(*order).mapInArrow(second_pass, schema))
+    again = saved(arrow(loose.repartition(tasks).sortWithinPartitions(*order), second_pass, schema))
     return first.filter("settled").unionByName(again).drop("settled")
 
 

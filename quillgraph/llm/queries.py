@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import exact_dedup, mixing, near_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 

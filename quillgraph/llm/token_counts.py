@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import arrow, slices, table, utf8
 from .words import Column, WordTable, hashes, lut, spans, sums
 
 MARK = "▁"
@@ -186,7 +186,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     chosen = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, n_tokens bigint, best_score double")
+    return arrow(chosen, run, f"{schema}, n_tokens bigint, best_score double")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
