@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, token_counts
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_mix_sources": mixing.SQL,
+    "op5_url_filter": url_filter.SQL,
+    "op9_license_scan": license_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
