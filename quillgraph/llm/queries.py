@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter
+from . import exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
