@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that the vectorised code handles at once; it bounds the size of its arrays.
 SLICE_BYTES = 1 << 20
@@ -56,7 +57,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with this library on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

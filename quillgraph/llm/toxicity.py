@@ -245,6 +245,18 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str
     return arrow(chosen, run, f"{schema}, weight double, score double, predicted int")
 
 
+def clean(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns; null and empty texts stay."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigher = Weigher(lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array(lexicon.score(*weigher(batch.column(place))) < 0.5))
+
+    return arrow(docs, run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
