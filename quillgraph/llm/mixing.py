@@ -4,11 +4,13 @@ Tokens are summed per source; weights give each source a target and so a repetit
 document is emitted floor(rate) times and once more by a draw seeded with its hash, whose
 probability is the rate's fraction.
 
-The draws of a source are spread evenly: its documents are put in an order by size class and hash
-and take a copy wherever the running sum of the fraction, shifted by a hash-seeded start, passes a
-whole number. Each document still has exactly the fraction as its probability, but the words drawn
-lie much nearer to the target than with independent draws. The running sums are counted in small
-independent strata, so that no task ever holds a source.
+The draws of a source are spread evenly: its documents are put in an order by size and hash and take
+a copy wherever the running sum of the fraction, shifted by a hash-seeded start, passes a whole
+number. Documents with a large share of their source are drawn first, level by level; what they
+took changes the fraction of the smaller ones, so that the sum stays at the target (on average over
+the draws, every document keeps the fraction as its probability). The words drawn so lie much nearer
+to the target than with independent draws. The running sums are counted in small independent strata,
+so that no task ever holds a source.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 #: Documents that one stratum of a source holds about.
 STRATUM = 2000
+#: Shares of a source's size, in thousandths, from which a document belongs to the first, second and
+#: third level; a level has at most 1000 / share documents of a source.
+LEVELS = (80, 20, 5)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,6 +79,18 @@ def _hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
+def _drawn(rows: DataFrame, state: DataFrame, many: bool) -> DataFrame:
+    """rows with extra, 1 for those that get one more copy, by the fractions in state."""
+    fractions = [c for c in state.columns if c[0] == "f"]
+    chosen = state.select("__of", F.array(*fractions).alias("__f"))
+    joined = rows.join(chosen if many else F.broadcast(chosen), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    within = Window.partitionBy("source", "__level", "__s").orderBy("size", "__h", F.col("id").asc_nulls_first())
+    n, fraction = F.row_number().over(within), F.col("__f")[F.col("__level")]
+    tag = F.coalesce(F.col("source"), F.lit("\x00"))
+    start = _hash(F.lit("start"), tag, F.col("__level").cast("string"), F.col("__s").cast("string"))
+    return joined.withColumn("extra", F.floor(n * fraction + start) - F.floor((n - 1) * fraction + start)).drop("__f")
+
+
 def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, max_rate: int = MAX_RATE, stratum: int = STRATUM) -> DataFrame:
     """key, source, size, source_size, target, copies for every row.
 
@@ -91,14 +108,25 @@ def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     )
     many = plan.limit(100_001).count() > 100_000
     rows = sized.join(plan if many else F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    fraction = F.col("rate") - F.floor("rate")
-    tag = F.coalesce(F.col("source"), F.lit("\x00"))
-    rows = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit("copy"), F.col("id").cast("string"))))
-    rows = rows.withColumn("__s", F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % F.col("strata"))
-    within = Window.partitionBy("source", "__s").orderBy("size", "__h", F.col("id").asc_nulls_first())
-    rows = rows.withColumn("__n", F.row_number().over(within))
-    start = _hash(F.lit("start"), tag, F.col("__s").cast("string"))
-    extra = F.floor(F.col("__n") * fraction + start) - F.floor((F.col("__n") - 1) * fraction + start)
+    level = F.lit(len(LEVELS))
+    for n, share in reversed(list(enumerate(LEVELS))):
+        level = F.when(1000 * F.col("size") >= share * F.col("source_size"), n).otherwise(level)
+    rows = rows.withColumn("__level", level).withColumn("__h", F.md5(F.concat_ws(":", F.lit("copy"), F.col("id").cast("string"))))
+    spread = F.when(F.col("__level") == len(LEVELS), F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % F.col("strata")).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.withColumn("__s", spread)
+
+    # one row for each source: what the levels so far took, and each level's fraction
+    state = plan.select(F.col("__source").alias("__of"), "source_size", (F.col("rate") - F.floor("rate")).alias("whole"), F.lit(0).cast("bigint").alias("took"), F.lit(0).cast("bigint").alias("done"))
+    for n in range(len(LEVELS) + 1):
+        rest = (F.col("whole") * F.col("source_size") - F.col("took")) / F.nullif(F.col("source_size") - F.col("done"), F.lit(0).cast("bigint"))
+        state = state.withColumn(f"f{n}", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(rest, F.lit(0.0)))))
+        if n < len(LEVELS):
+            level_rows = _drawn(rows.filter(F.col("__level") == n), state, many)
+            sums = level_rows.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).cast("bigint").alias("own_took"), F.sum("size").alias("own_done"))
+            joined = state.join(sums, F.col("__of").eqNullSafe(F.col("source")), "left")
+            state = saved(joined.withColumn("took", F.col("took") + F.coalesce("own_took", F.lit(0))).withColumn("done", F.col("done") + F.coalesce("own_done", F.lit(0))).drop("source", "own_took", "own_done"))
+    rows = _drawn(rows, saved(state), many)
+    extra = F.col("extra")
     return rows.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.floor("rate") + extra).cast("bigint").alias("copies"))
 
 
@@ -118,8 +146,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-SQL = r"""
-WITH RECURSIVE d AS (
+_TEMPLATE = r"""
+WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS documents,
@@ -141,13 +169,35 @@ WITH RECURSIVE d AS (
 ), h AS (
   SELECT d.doc_id, d.size, p.*, md5('copy:' || d.doc_id::VARCHAR) AS hash FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), q AS (
-  SELECT *, ('0x' || hash[1:8])::BIGINT % strata AS stratum FROM h
+  SELECT *, {LEVEL} AS level, CASE WHEN {LEVEL} = {LAST} THEN ('0x' || hash[1:8])::BIGINT % strata ELSE 0 END AS stratum FROM h
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY size, hash, doc_id) AS n,
-         ('0x' || md5('start:' || coalesce(source, chr(0)) || ':' || stratum::VARCHAR)[1:12])::BIGINT / 281474976710656.0::DOUBLE AS start
+  SELECT *, row_number() OVER (PARTITION BY source, level, stratum ORDER BY size, hash, doc_id NULLS FIRST) AS n,
+         ('0x' || md5('start:' || coalesce(source, chr(0)) || ':' || level || ':' || stratum)[1:12])::BIGINT / 281474976710656.0::DOUBLE AS start
   FROM q
-)
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + floor(n * (rate - floor(rate)) + start) - floor((n - 1) * (rate - floor(rate)) + start)))::BIGINT AS taken
-FROM n
+), l0 AS (
+  SELECT source, source_size, rate - floor(rate) AS whole, 0::BIGINT AS took, 0::BIGINT AS done, rate - floor(rate) AS f FROM p
+), {LOOP}
+x AS ({EVERY})
+SELECT n.doc_id, n.size, n.source_size, n.target, (n.size * (floor(n.rate) + floor(n.n * x.f + n.start) - floor((n.n - 1) * x.f + n.start)))::BIGINT AS taken
+FROM n JOIN x ON x.source IS NOT DISTINCT FROM n.source AND x.level = n.level
 """
+
+
+def _sql() -> str:
+    """The statement with a step for each level."""
+    level = "CASE " + " ".join(f"WHEN 1000 * size >= {share} * source_size THEN {n}" for n, share in enumerate(LEVELS)) + f" ELSE {len(LEVELS)} END"
+    loop = "".join(
+        f"""t{n} AS (
+  SELECT l.source, coalesce(sum(n.size * (floor(n.n * l.f + n.start) - floor((n.n - 1) * l.f + n.start))), 0)::BIGINT AS took, coalesce(sum(n.size), 0)::BIGINT AS done
+  FROM l{n} l LEFT JOIN n ON n.source IS NOT DISTINCT FROM l.source AND n.level = {n} GROUP BY l.source
+), l{n + 1} AS (
+  SELECT source, source_size, whole, took, done, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((whole * source_size - took) / nullif(source_size - done, 0), 0.0::DOUBLE))) AS f
+  FROM (SELECT l.source, l.source_size, l.whole, l.took + t.took AS took, l.done + t.done AS done FROM l{n} l JOIN t{n} t ON t.source IS NOT DISTINCT FROM l.source)
+), """
+        for n in range(len(LEVELS))
+    )
+    every = " UNION ALL ".join(f"SELECT source, {n} AS level, CASE WHEN source_size > 0 THEN f ELSE 0.0::DOUBLE END AS f FROM l{n}" for n in range(len(LEVELS) + 1))
+    return _TEMPLATE.replace("{LEVEL}", level).replace("{LAST}", str(len(LEVELS))).replace("{LOOP}", loop.rstrip()).replace("{EVERY}", every)
+
+
+SQL = _sql()
