@@ -152,3 +152,30 @@ def status_counts(records: DataFrame) -> DataFrame:
 def empty_sample(records: DataFrame, most: int = 10) -> DataFrame:
     """The first mapped records without references."""
     return records.filter(is_mapped() & ~is_ready()).orderBy("item_key").limit(most).select("item_key")
+
+
+#: Selected papers that must cite a work for it to count as a gap; characters of a shown label.
+GAP_CITERS, LABEL_CHARS = 2, 32
+
+
+def gaps(nodes: DataFrame, least: int = GAP_CITERS) -> DataFrame:
+    """External works that several selected papers cite."""
+    return nodes.filter((F.col("type") == "external") & (F.col("cited_by") >= least))
+
+
+def shown_labels(nodes: DataFrame, degree: DataFrame, least: int = 2) -> DataFrame:
+    """(id, shown): cut labels of owned nodes and of external ones with enough links, else null."""
+    rows = nodes.join(degree, "id", "left")
+    show = (F.col("type") == "owned") | (F.coalesce("degree", F.lit(0)) >= least)
+    return rows.select("id", F.when(show, F.substring("label", 1, LABEL_CHARS)).alias("shown"))
+
+
+def selections_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two selections share an item; stops at the first."""
+    shared = a.select("item_key").join(b.select("item_key").distinct(), "item_key", "left_semi").limit(1)
+    return shared.agg((F.count(F.lit(1)) > 0).alias("meet"))
+
+
+def layer_complete(cover: DataFrame) -> DataFrame:
+    """One row: whether nothing of the selection is unmapped."""
+    return cover.agg((F.count_if("unmapped") == 0).alias("complete"), F.count_if("unmapped").alias("unmapped"))

@@ -531,3 +531,141 @@ def narration_prompts(spark, d):
     script = narration.compose_prompts(answered)
     counts = answered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("prompts"))
     return narration.checked(script.select("doc_id", F.lit(" ").alias("note"))).join(counts, "doc_id")
+
+
+_SLUG = "regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_partkey || '.mp3' ELSE {_SLUG} || '--' || p_partkey || '.mp3' END AS file FROM part")
+def audio_names(spark, d):
+    title = F.when(F.col("p_partkey") % 4 == 0, F.lit("?!")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", X.audio_name(title, F.col("p_partkey").cast("string")).alias("file"))
+
+
+@query("SELECT p_partkey, len(list_intersect(string_split(lower(p_name), ' '), ['small', 'red', 'ring'])) / 3.0::DOUBLE AS overlap FROM part")
+def title_overlap(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.token_overlap(F.lit("Small, RED ring!"), F.col("p_name")).alias("overlap"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents")
+def html_escaped(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.html_escape(F.col("text"))).alias("escaped"))
+
+
+@query("SELECT p_partkey, contains('a box with a ' || lower(p_name) || ' and more', lower(p_name)) AND p_partkey % 2 = 0 AS hit FROM part")
+def passage_hits(spark, d):
+    block = F.concat(F.lit("A box\n with a "), F.upper("p_name"), F.lit(" and more."))
+    passage = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  "), "p_name", F.lit("..  "))).otherwise(F.lit("box"))
+    return table(spark, d, "part").select("p_partkey", X.passage_hit(block, passage).alias("hit"))
+
+
+@query("SELECT l_orderkey AS job_id, round(sum(l_quantity::BIGINT * 1000) / 60000.0::DOUBLE, 2) AS duration_min FROM lineitem GROUP BY 1")
+def audio_minutes(spark, d):
+    return narration.minutes(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_quantity").cast("bigint") * 1000).alias("ms")))
+
+
+def _points(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("component"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.lit(3.0).alias("radius"))
+
+
+@query("SELECT min(p_size)::DOUBLE AS x0, max(p_size)::DOUBLE AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part")
+def bounding_box(spark, d):
+    return timeline.extremes(_points(spark, d))
+
+
+@query(
+    """WITH m AS (SELECT p_brand AS component, avg(p_size::DOUBLE) AS x, avg(p_retailprice) AS y FROM part GROUP BY 1)
+SELECT component, round(min(x), 4) AS x, round(min(y), 4) AS y, round(max(sqrt((p_size - x) * (p_size - x) + (p_retailprice - y) * (p_retailprice - y)) + 3), 4) AS reach FROM m JOIN part ON p_brand = component GROUP BY component"""
+)
+def component_centroids(spark, d):
+    return timeline.centroids(_points(spark, d)).select("component", *(F.round(c, 4).alias(c) for c in ("x", "y", "reach")))
+
+
+@query(
+    """SELECT l_orderkey AS id, round(avg(p_size::DOUBLE), 6) AS x, round(avg(p_retailprice), 4) AS y FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 2 = 0 GROUP BY 1"""
+)
+def seed_positions(spark, d):
+    off = 100000000
+    placed = table(spark, d, "part").filter("p_partkey % 2 = 0").select((F.col("p_partkey") + off).alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + off).alias("target"))
+    free = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return timeline.seed_positions(free, placed, edges).select("id", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"WITH {_YEARS} SELECT source, target FROM edge WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)")
+def visible_edges(spark, d):
+    nodes, edges = _plain_nodes(spark, d), _edges(spark, d)
+    return timeline.visible(nodes, edges, timeline.timeline_years(nodes, edges))[1].select("source", "target")
+
+
+@query(f"WITH {_EDGES} SELECT target AS id, count(*) AS cited_by FROM edge GROUP BY target HAVING count(*) >= 2")
+def citation_gaps(spark, d):
+    return citations.gaps(_plain_nodes(spark, d)).select("id", "cited_by")
+
+
+@query(
+    f"""WITH {_EDGES}, deg AS (SELECT target AS id, count(*) AS n FROM edge GROUP BY target)
+SELECT item_key AS id, substr({_OWNED}, 1, 32) AS shown FROM rec WHERE status = 'mapped'
+UNION ALL SELECT ref.id, CASE WHEN min(n) >= 2 THEN substr(CASE WHEN min(p_size) <= 40 THEN min(p_name) ELSE ref.id END, 1, 32) END FROM ref JOIN part ON p_partkey = l_partkey JOIN deg ON deg.id = ref.id GROUP BY ref.id"""
+)
+def shown_labels(spark, d):
+    return citations.shown_labels(_plain_nodes(spark, d), citations.degrees(_edges(spark, d)))
+
+
+@query("SELECT count(*) > 0 AS meet FROM orders WHERE o_orderkey < 500")
+def selections_meet(spark, d):
+    return citations.selections_meet(I.selection(spark, d), _small_selection(spark, d))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus <> 'F') = 0 AS complete, count(*) FILTER (o_orderstatus <> 'F') AS unmapped FROM orders")
+def layer_complete(spark, d):
+    return citations.layer_complete(citations.coverage(I.selection(spark, d), I.records(spark, d)))
+
+
+@query(f"WITH {_JOBS} SELECT job_id FROM jobs WHERE status IN ('queued', 'running') AND doc_id % 2 = 0")
+def active_jobs(spark, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "prefetch").otherwise("fetch")
+    return jobs.active_ids(I.jobs(spark, d).withColumn("kind", kind), "prefetch")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status, NULL::VARCHAR AS stage, NULL::VARCHAR AS progress, NULL::VARCHAR AS detail, NULL::VARCHAR AS error, NULL::VARCHAR AS result FROM jobs")
+def public_jobs(spark, d):
+    return jobs.public(I.jobs(spark, d))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY mtime DESC, job_id)::INTEGER AS rank FROM jobs WHERE status IN ('done', 'error')")
+def job_ranks(spark, d):
+    return jobs.window_rank(I.jobs(spark, d)).select("job_id", "doc_id", "rank")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS title FROM part")
+def last_titles(spark, d):
+    p = table(spark, d, "part")
+    old = p.select(F.col("p_partkey").alias("item_key"), F.col("p_name").alias("title"), F.lit(1).alias("priority"))
+    new = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item_key"), F.concat(F.lit("new "), "p_name").alias("title"), F.lit(2).alias("priority"))
+    return jobs.last_wins(old.unionByName(new)).select(F.col("item_key").alias("p_partkey"), "title")
+
+
+@query(f"WITH {_EDGES} SELECT 'o' || o_orderkey AS item_key, CASE WHEN o_orderstatus = 'P' THEN 'not mappable' WHEN 'o' || o_orderkey IN (SELECT source FROM edge) THEN 'check' ELSE '' END AS status, o_orderkey % 4 = 0 AS playable FROM orders")
+def row_status(spark, d):
+    ready = I.records_with_arrays(spark, d).filter(citations.is_ready())
+    narrated = table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(I.paper().alias("item_key"))
+    return jobs.row_status(I.items(spark, d), ready, narrated)
+
+
+@query(f"WITH {_EDGES} SELECT item_key, o_orderkey AS sel_pos FROM rec WHERE NOT (status = 'mapped' AND cited_by % 3 = 0 AND item_key IN (SELECT source FROM edge))")
+def citers_to_fetch(spark, d):
+    return incremental.citers_todo(I.selection(spark, d), I.records_with_arrays(spark, d))
+
+
+@query("SELECT p_partkey, (5 + trunc(35 * p_size / 50.0))::INTEGER AS progress FROM part")
+def fetch_progress(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.progress(5, 35, F.col("p_size"), F.lit(50)).alias("progress"))
+
+
+@query("SELECT r_regionkey::BIGINT AS parent, (n_nationkey + 1000)::BIGINT AS id, row_number() OVER (PARTITION BY r_regionkey ORDER BY lower(n_name), n_nationkey)::INTEGER AS place FROM nation JOIN region ON r_regionkey = n_regionkey")
+def sibling_order(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("parent").orderBy("sort_path")
+    return tree.forest(I.collections(spark, d)).filter("parent IS NOT NULL").select("parent", "id", F.row_number().over(order).alias("place"))
