@@ -58,7 +58,7 @@ DROP_NAMES = frozenset(
     header footer sidebar sidebars aside rail widget widgets related recommended recommendations trending popular
     cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay lightbox paywall announcement
     newsletter subscribe subscription signup signin login register search searchbox form
-    share sharing sharebar social comment comments commentlist commentform respond reply replies disqus discussion reviews feedback
+    share sharing sharebar social teaser teasers comment comments commentlist commentform respond response responses reply replies disqus discussion reviews feedback
     copyright disclaimer legal hidden skip skiplink""".split()
 )
 #: A name beside these is part of the article ("article-header").
