@@ -32,6 +32,8 @@ END_ID = 1
 OPEN_BINS = 256
 #: A bin that is left open at a partition's end stays as it is from this fill on.
 FULL_ENOUGH = 0.995
+#: Rows that are encoded at once; pieces of words whose ids are kept.
+TOGETHER, KEPT_PIECES = 256, 60_000
 #: Tokens of given-back pieces that one task of the second pass packs.
 SECOND_PASS_TOKENS = 2_000_000
 
@@ -153,7 +155,7 @@ class Encoder:
             for piece in find(word.decode("utf-8", "replace")):
                 ids = known.get(piece)
                 if ids is None:
-                    if len(known) > 500_000:
+                    if len(known) >= KEPT_PIECES:
                         known.clear()
                     ids = known[piece] = self._piece(piece)
                 out += ids
@@ -220,7 +222,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
         out: list[tuple] = []  # key index is kept beside, since keys may be of any type
         keys: list[pa.Array] = []
 
-        for batch in batches:
+        for batch in (whole.slice(start, TOGETHER) for whole in batches for start in range(0, whole.num_rows, TOGETHER)):
             rows: list[int] = []
             for row, ids in enumerate(encoder([t or "" for t in batch.column(1).to_pylist()])):
                 ids = np.append(ids, np.uint32(end_id))

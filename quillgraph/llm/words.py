@@ -72,7 +72,7 @@ class WordTable:
     each. reset() is called when the table holds over cap words, which bounds its memory.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], None], reset: Callable[[], None], cap: int = 1_500_000):
+    def __init__(self, learn: Callable[[list[bytes]], None], reset: Callable[[], None], cap: int = 500_000):
         self.learn, self.reset, self.cap = learn, reset, cap
         self._clear(1 << 16)
         self.size = 0
