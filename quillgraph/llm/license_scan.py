@@ -1,7 +1,7 @@
 """Operator 9, license scans: a positional index of rare words. DataFrame functions only.
 
 Licence templates are indexed by their rarest words (highest inverse template frequency) with the
-words' positions. A text's rarest licence words are looked up; postings of one template at the same
+words' positions. All licence words of a text are looked up; postings of one template at the same
 relative position (word in the text minus word in the template) vote together. A template is found
 where enough of its anchors agree on one place and all its mandatory key phrases stand in the text.
 
@@ -42,7 +42,7 @@ TEMPLATES = [
 ]
 #: Every template's key phrases hold one of these.
 GATES = ("licens", "permission is", "redistribution", "unencumbered")
-#: Rarest words of a template that are its anchors; rarest licence words of a text that are looked up.
+#: Rarest words of a template that are its anchors; rarest licence words of a text that the SQL looks up (the operator: all).
 ANCHORS, LOOKED_UP = 6, 24
 #: Share of a template's anchor weight that must agree on one place.
 AGREE = 0.6
@@ -124,13 +124,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
     gated = gated.filter(any_key).withColumn("verified", F.array_compact(F.array(*(F.when(F.col(f"k{n}"), F.lit(n)) for n in keys)))).select("row", "verified", "s")
     # the index is as large as the templates
     postings = F.broadcast(spark.createDataFrame(anchors(templates), "template int, label string, word string, at int, weight double, share double"))
-    vocabulary = F.broadcast(postings.groupBy("word").agg(F.max("weight").alias("idf")).select(F.col("word").alias("rare"), "idf"))
     words = gated.select("row", "verified", F.posexplode(F.split(F.trim("s"), "  ")).alias("pos", "word"))
-    known = words.join(vocabulary, F.col("word") == F.col("rare")).drop("rare")
-    # a text's rarest licence words; its distinct ones are at most as many as the index has
-    chosen = known.groupBy("row").agg(F.collect_set(F.struct((-F.col("idf")).alias("order"), "word")).alias("all")).select("row", F.slice(F.array_sort("all"), 1, LOOKED_UP).alias("chosen"))
-    chosen = chosen.select("row", F.transform("chosen", lambda x: x["word"]).alias("chosen"))
-    looked_up = known.join(chosen, "row").filter(F.array_contains("chosen", F.col("word"))).join(postings, "word").filter(F.array_contains("verified", F.col("template")))
+    looked_up = words.join(postings, "word").filter(F.array_contains("verified", F.col("template")))
     votes = looked_up.groupBy("row", "template", "label", (F.col("pos") - F.col("at")).alias("place")).agg(F.sum("share").alias("share"))
     found = votes.filter(F.col("share") >= AGREE).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     out = scanned.join(found, "row", "left")

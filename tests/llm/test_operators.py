@@ -289,6 +289,15 @@ def test_license_scan(spark):
     assert found[1]["labels"] == "cc-by-nc-4.0" and found[4]["n_words"] == 0
 
 
+def test_license_scan_of_long_texts(spark):
+    texts = [t for _, t, _ in license_scan.TEMPLATES]
+    every = "\n".join(texts)  # holds all words of the index
+    rows = [(0, every), *((n, f"{t} and nothing else. " + " ".join(sorted(set(every.split())))) for n, t in enumerate(texts, 1))]
+    found = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in license_scan.TEMPLATES} <= set(found[0])
+    assert all(license_scan.TEMPLATES[n - 1][0] in found[n] for n in range(1, len(rows)))
+
+
 # 10
 
 
