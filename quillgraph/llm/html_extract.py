@@ -61,8 +61,22 @@ DROP_NAMES = frozenset(
     share sharing sharebar social teaser teasers comment comments commentlist commentform respond response responses reply replies disqus discussion reviews feedback
     copyright disclaimer legal hidden skip skiplink""".split()
 )
+#: What may stand beside these in a name that is dropped ("site-footer", "ad-slot", "related-posts").
+FILL_NAMES = frozenset(
+    """x site page main top bottom left right upper lower primary secondary global mobile desktop sticky fixed floating inline side
+    box bar block slot unit zone area wrap wrapper container inner outer holder panel row col column list item items link links icon icons
+    button buttons btn this tool tools group strip count post posts article articles entry story stories blog google""".split()
+)
 #: A name beside these is part of the article ("article-header").
 OWN_NAMES = frozenset("article post entry story page-content content main".split())
+#: Inside an article these also name what it is about ("discussion") or parts of its own ("header").
+ARTICLE_NAMES = frozenset(
+    """header form search searchbox discussion reviews feedback response responses reply replies copyright disclaimer legal alert alerts
+    popular trending teaser teasers announcement register subscription rail banner overlay consent gdpr promotion notification notifications social""".split()
+)
+#: The ids of a section inside an article that are dropped; all others name its subject.
+SECTION_IDS = frozenset("comment comments commentlist commentform respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
@@ -73,27 +87,38 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    """An element of a page: key for alignment, whether its subtree is dropped, children (elements and texts)."""
+    """An element of a page: key for alignment, whether its subtree is dropped, whether it is or stands in a main element, children (elements and texts)."""
+
+    __slots__ = ("tag", "key", "dropped", "main", "inside", "children")
+
+    def __init__(self, tag: str, key: str, dropped: bool, main: bool, inside: bool = False):
+        self.tag, self.key, self.dropped, self.main, self.inside, self.children = tag, key, dropped, main, inside, []
 
-    __slots__ = ("tag", "key", "dropped", "main", "children")
 
-    def __init__(self, tag: str, key: str, dropped: bool, main: bool):
-        self.tag, self.key, self.dropped, self.main, self.children = tag, key, dropped, main, []
+def _drops(name: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id says that its element isn't main text."""
+    parts = {p.lower() for p in _NAME.findall(name)}
+    hits = parts & words
+    if name.lower() in words:
+        hits = {name.lower()}
+    elif not hits or not all(p in DROP_NAMES or p in FILL_NAMES or p.isdigit() for p in parts):
+        return False
+    return not (hits <= {"header", "promo", "page"} and parts & OWN_NAMES)
 
 
 @lru_cache(maxsize=4096)
-def _describe(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Key, dropped and main of a start tag."""
+def _describe(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """Key, dropped and main of a start tag; inside: whether it stands in a main element."""
     found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     role = found.get("role", "").lower()
     dropped = tag in DROP_TAGS or role in DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not dropped and tag not in ("html", "body", "main"):
-        for name in [*classes, *found.get("id", "").split()]:
-            parts = {p.lower() for p in _NAME.findall(name)}
-            hits = (parts | {name.lower()}) & DROP_NAMES
-            if hits and not (hits <= {"header", "promo", "page"} and parts & OWN_NAMES):
-                dropped = True
+    if not dropped and tag not in ("html", "body", "main", "article") and role not in ("main", "article") and found.get("itemprop") != "articleBody":
+        words = DROP_NAMES - ARTICLE_NAMES if inside else DROP_NAMES
+        dropped = any(_drops(name, words) for name in classes)
+        if not (inside and tag in HEADINGS):
+            ids = SECTION_IDS if inside and tag == "section" else words
+            dropped = dropped or any(_drops(name, ids) for name in found.get("id", "").split())
     main = not dropped and (tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody")
     stable = [c for c in classes if not any(ch.isdigit() for ch in c)][:2]
     return ".".join([tag, *stable]), dropped, main
@@ -131,7 +156,8 @@ def parse(page: str) -> Element:
                     del stack[i:]
                 elif stack[i].tag in SCOPE and not (stack[i].tag in ("td", "th") and tag in ("td", "th", "tr")):
                     break
-        one = Element(tag, *_describe(tag, token["attrs"].strip(" /\t\n\r")))
+        inside = stack[-1].main or stack[-1].inside
+        one = Element(tag, *_describe(tag, token["attrs"].strip(" /\t\n\r"), inside), inside)
         stack[-1].children.append(one)
         if tag not in VOID and not token[0].endswith("/>"):
             if len(stack) < DEPTH:

@@ -166,6 +166,17 @@ def test_main_text():
     assert html_extract.main_text(html_extract.parse("<div class=content><h2>Hi</h2>Text<br>more<p>para</div><ul class=menu><li>m</ul>")) == "Hi\nText more\npara"
 
 
+def test_names_of_subjects_stay():
+    text = lambda page: html_extract.main_text(html_extract.parse(page)).split("\n")
+    for names in ("post category-reviews", "post tag-search", "teaser"):
+        assert text(f'<nav>n</nav><article class="{names}"><p>Text</p></article>') == ["Text"]
+    assert text('<div role="main" class="page search"><p>Text</p></div>') == ["Text"]
+    subjects = '<section id="discussion">a</section><h2 id="related-work">b</h2><p class="legal">c</p><div id="response-time">d</div><section id="search-algorithms">e</section><section id="related">f</section>'
+    assert text(f"<article>{subjects}</article>") == text(f"<main>{subjects}</main>") == list("abcdef")
+    furniture = '<div class="ad">a</div><div class="top-ad-slot">b</div><div id="cookie-notice">c</div><div class="post-footer">d</div><div class="relatedPosts">e</div><section id="comments">f</section>'
+    assert text(f"<article><p>Text</p>{furniture}</article>") == ["Text"]
+
+
 def test_constants_of_a_host_go(spark):
     pages = [(i, f"http://h.org/{i}", PAGE.format(title=f"T{i}", body=f"<p>body {i}" * (1 + i % 3))) for i in range(8)] + [(99, "http://alone.org/", PAGE.format(title="T", body="<p>b"))]
     found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
