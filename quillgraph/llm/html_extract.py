@@ -7,7 +7,7 @@ optional, texts that differ become slots, texts that never differ stay constants
 host's wrapper; wrappers of parts of a host are aligned the same way, so that no host needs one task.
 
 Extraction aligns each page with its host's wrapper. The main text is the article (or main) element,
-or, where a page has none, its body without blocks of links; menus, headers, footers, sidebars,
+or, where a page has none, its body without menus (blocks of nothing but links); menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments go by their tags, roles and class names;
 wrapper constants go where the pages around them differ.
 """
@@ -39,7 +39,7 @@ DEPTH = 150
 BROADCAST_BYTES = 32 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "canvas", "select", "title")
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "canvas", "select", "title")
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -79,7 +79,7 @@ SECTION_IDS = frozenset("comment comments commentlist commentform respond disqus
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<empty>svg)(?:[\s/](?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?![\w:.-])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -132,7 +132,7 @@ def parse(page: str) -> Element:
         tag = token["tag"]
         if tag is None:
             text = token[0]
-            if text[0] == "<" and (len(text) > 1 or token["raw"]):
+            if text[0] == "<" and len(text) > 1:
                 continue
             stack[-1].children.append(entities.unescape(text) if "&" in text else text)
             continue
@@ -338,43 +338,42 @@ def _pairs(a: list, b: list) -> list[tuple[list, list]]:
 
 
 def regions(root: Element) -> list[Element]:
-    """The outermost main elements that stand in nothing dropped; a main element that holds articles gives way to them."""
+    """The outermost main elements that stand in nothing dropped."""
     out: list[Element] = []
 
-    def find(node: Element, inside: list[Element]) -> None:
+    def find(node: Element) -> None:
         for child in node.children:
             if isinstance(child, str) or child.dropped:
                 continue
             if child.main:
-                inner: list[Element] = []
-                if child.tag == "main":
-                    find(child, inner)
-                inside.extend(inner or [child])
+                out.append(child)
             else:
-                find(child, inside)
+                find(child)
 
-    find(root, out)
+    find(root)
     return out
 
 
-def blocks(node: Element, skip: set[tuple[int, int]] = frozenset(), within_main: bool = True) -> list[tuple[str, float]]:
-    """The kept texts of a subtree by block, with the share of each block's text that is in links."""
-    out: list[tuple[str, float]] = []
+def blocks(node: Element, skip: set[tuple[int, int]] = frozenset(), within_main: bool = True) -> list[tuple[str, bool]]:
+    """The kept texts of a subtree by block, with whether each is a menu: only links, several of them or one in a list."""
+    out: list[tuple[str, bool]] = []
     buffer: list[str] = []
-    linked = 0
+    links: set[int] = set()
+    plain = listed = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal plain, listed
         text = " ".join("".join(buffer).split())
         if text:
-            out.append((text, linked / len(text)))
+            out.append((text, not plain and (len(links) > 1 or listed and len(links) == 1)))
         buffer.clear()
-        linked = 0
+        links.clear()
+        plain = listed = False
 
     # a stack instead of calls: pages may be nested deeply
-    todo: list[tuple] = [(node, 0, False)]
+    todo: list[tuple] = [(node, 0, 0, False)]
     while todo:
-        at, place, in_link = todo.pop()
+        at, place, link, in_list = todo.pop()
         if place == 0 and at.tag in BLOCK:
             flush()
         while place < len(at.children):
@@ -383,13 +382,17 @@ def blocks(node: Element, skip: set[tuple[int, int]] = frozenset(), within_main:
             if isinstance(child, str):
                 if (id(at), place - 1) not in skip:
                     buffer.append(child)
-                    if in_link:
-                        linked += len(child.strip())
+                    if any(ch.isalnum() for ch in child):
+                        listed = listed or in_list
+                        if link:
+                            links.add(link)
+                        else:
+                            plain = True
             elif child.tag == "br" or child.tag == "wbr":
                 buffer.append(" " if child.tag == "br" else "")
             elif not child.dropped and (within_main or child.tag != "header"):
-                todo.append((at, place, in_link))
-                todo.append((child, 0, in_link or child.tag == "a"))
+                todo.append((at, place, link, in_list))
+                todo.append((child, 0, link or (id(child) if child.tag == "a" else 0), in_list or child.tag == "li"))
                 break
         else:
             if at.tag in BLOCK:
@@ -406,7 +409,7 @@ def main_text(root: Element, wrapper: list | None = None, distinct: int = 0) ->
         kept = [text for region in found for text, _ in blocks(region, skip)]
     else:
         body = next((c for h in root.children if not isinstance(h, str) for c in ([h] if h.tag == "body" else h.children) if not isinstance(c, str) and c.tag == "body"), root)
-        kept = [text for text, links in blocks(body, skip, False) if links < 0.6]
+        kept = [text for text, menu in blocks(body, skip, False) if not menu]
     return "\n".join(kept)
 
 

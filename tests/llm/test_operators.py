@@ -177,6 +177,17 @@ def test_names_of_subjects_stay():
     assert text(f"<article><p>Text</p>{furniture}</article>") == ["Text"]
 
 
+def test_nothing_else_is_cut():
+    text = lambda page: html_extract.main_text(html_extract.parse(page)).split("\n")
+    for icon in ('<svg class="icon"/>', "<svg/>", '<svg title="a > b" />', "<svg><path d='M0'/><text>t</text></svg>", "<math/>", '<math display="block" />'):
+        assert text(f"<article><p>Before {icon}and after</p><p>End</p></article>") == ["Before and after", "End"]
+    assert text("<article><object-card>a</object-card><p>b</p><select-box>c</select-box><p>d</article>") == ["a", "b", "c", "d"]
+    assert text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <object data=f><b>bold</b></object></p></article>") == ["So x=1 and bold"]
+    assert text('<main><h1>Title</h1><p>body</p><article class="card">card</article><aside>x</aside><p>end</p></main>') == ["Title", "body", "card", "end"]
+    plain = '<div><a href="/">Home</a> | <a href="/b">B</a></div><h2><a href=/t>Linked title</a></h2><p>See <a href=/1>a long linked text</a>, <a href=/2>another linked text</a>.</p><ul><li><a href=/3>Item</a></ul>'
+    assert text(plain) == ["Linked title", "See a long linked text, another linked text."]
+
+
 def test_constants_of_a_host_go(spark):
     pages = [(i, f"http://h.org/{i}", PAGE.format(title=f"T{i}", body=f"<p>body {i}" * (1 + i % 3))) for i in range(8)] + [(99, "http://alone.org/", PAGE.format(title="T", body="<p>b"))]
     found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
