@@ -9,7 +9,7 @@ host's wrapper; wrappers of parts of a host are aligned the same way, so that no
 Extraction aligns each page with its host's wrapper. The main text is the article (or main) element,
 or, where a page has none, its body without menus (blocks of nothing but links); menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments go by their tags, roles and class names;
-wrapper constants go where the pages around them differ.
+wrapper constants go where the pages around them differ, but in an article only those of notices.
 """
 
 from __future__ import annotations
@@ -76,6 +76,8 @@ ARTICLE_NAMES = frozenset(
 )
 #: The ids of a section inside an article that are dropped; all others name its subject.
 SECTION_IDS = frozenset("comment comments commentlist commentform respond disqus".split())
+#: Constants inside an article go only where a class or id has one of these.
+NOTICE_NAMES = frozenset("note notice notices alert alerts announcement banner ad ads advert advertisement sponsor sponsored promo cookie cookies consent gdpr paywall newsletter subscribe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -87,12 +89,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    """An element of a page: key for alignment, whether its subtree is dropped, whether it is or stands in a main element, children (elements and texts)."""
+    """An element of a page: key for alignment, whether its subtree is dropped, whether it stands in a main element and looks like a notice there, children (elements and texts)."""
 
-    __slots__ = ("tag", "key", "dropped", "main", "inside", "children")
+    __slots__ = ("tag", "key", "dropped", "main", "notice", "inside", "children")
 
-    def __init__(self, tag: str, key: str, dropped: bool, main: bool, inside: bool = False):
-        self.tag, self.key, self.dropped, self.main, self.inside, self.children = tag, key, dropped, main, inside, []
+    def __init__(self, tag: str, key: str, dropped: bool, main: bool, notice: bool = False, inside: bool = False):
+        self.tag, self.key, self.dropped, self.main, self.notice, self.inside, self.children = tag, key, dropped, main, notice, inside, []
 
 
 def _drops(name: str, words: frozenset[str]) -> bool:
@@ -107,8 +109,8 @@ def _drops(name: str, words: frozenset[str]) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def _describe(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bool]:
-    """Key, dropped and main of a start tag; inside: whether it stands in a main element."""
+def _describe(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bool, bool]:
+    """Key, dropped, main and notice of a start tag; inside: whether it stands in a main element."""
     found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     role = found.get("role", "").lower()
@@ -121,7 +123,8 @@ def _describe(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool, bo
             dropped = dropped or any(_drops(name, ids) for name in found.get("id", "").split())
     main = not dropped and (tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody")
     stable = [c for c in classes if not any(ch.isdigit() for ch in c)][:2]
-    return ".".join([tag, *stable]), dropped, main
+    named = tag not in HEADINGS and any(p.lower() in NOTICE_NAMES for name in [*classes, *found.get("id", "").split()] for p in _NAME.findall(name))
+    return ".".join([tag, *stable]), dropped, main, inside and not main and named
 
 
 def parse(page: str) -> Element:
@@ -401,12 +404,26 @@ def blocks(node: Element, skip: set[tuple[int, int]] = frozenset(), within_main:
     return out
 
 
+def _notices(region: Element) -> set[tuple[int, int]]:
+    """(id of parent, place) of the texts in notices of a main element, whose other texts are its own however often they repeat."""
+    out = set()
+    todo = [(region, False)]
+    while todo:
+        at, inside = todo.pop()
+        for place, child in enumerate(at.children):
+            if not isinstance(child, str):
+                todo.append((child, child.tag not in HEADINGS and (inside or child.notice)))
+            elif inside:
+                out.add((id(at), place))
+    return out
+
+
 def main_text(root: Element, wrapper: list | None = None, distinct: int = 0) -> str:
     """The page's main text: its blocks, one a line."""
     skip: set[tuple[int, int]] = constants(root, wrapper) if wrapper is not None and distinct >= ENOUGH_PAGES else set()
     found = regions(root)
     if found:
-        kept = [text for region in found for text, _ in blocks(region, skip)]
+        kept = [text for region in found for text, _ in blocks(region, skip & _notices(region) if skip else skip)]
     else:
         body = next((c for h in root.children if not isinstance(h, str) for c in ([h] if h.tag == "body" else h.children) if not isinstance(c, str) and c.tag == "body"), root)
         kept = [text for text, menu in blocks(body, skip, False) if not menu]

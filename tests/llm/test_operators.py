@@ -195,6 +195,13 @@ def test_constants_of_a_host_go(spark):
     assert found[99] == "T\nSame everywhere\nb"
 
 
+def test_constants_of_an_article_stay(spark):
+    page = '<article><h1>T{0}</h1><p>Shared lead</p><h2 class="note">Summary</h2><p>body {0}</p><p class="legal">CC BY</p><p class="promo-note">Buy</p></article>'
+    pages = [(i, f"http://h.org/{i}", page.format(i)) for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"T{i}\nShared lead\nSummary\nbody {i}\nCC BY" for i in range(8)}
+
+
 def test_alignment():
     one, two = (html_extract.page_wrapper(html_extract.parse(h)) for h in ("<ul><li>a<li>b</ul><p>x</p>", "<ul><li>a</ul><hr><p>y</p>"))
     merged = html_extract._merge(one, two)
