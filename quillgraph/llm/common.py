@@ -34,13 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
+    """The folder that driver and executors share; a temporary one only in local mode where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 _shipped: set[str] = set()
@@ -81,11 +82,47 @@ def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(released, schema)
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Folders that the open scratch() blocks will remove, the innermost last.
+_scratch: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, outlives: bool = False) -> str:
+    """A new folder in the shared one. It goes with the innermost scratch() block (outlives: with the one around that)."""
+    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
+    depth = len(_scratch) - 1 - outlives
+    if depth >= 0:
+        _scratch[depth].append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """What a lazy result still reads can go only with the application."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end every table that was saved within it."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove_folder(spark, path)
+
+
+def saved(df: DataFrame, outlives: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
+    path = new_folder(spark, outlives)
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,7 +132,18 @@ def drop_saved(spark: SparkSession, *frames: DataFrame) -> None:
         for file in frame.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if folder.getName().startswith("quillgraph-"):
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+                remove_folder(spark, folder.toString())
+
+
+def portions(batch: pa.RecordBatch, column: int, rows: int = 256, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and bytes of a text column; a longer text is a part of its own."""
+    _, offs = utf8(batch.column(column))
+    i = 0
+    while i < batch.num_rows:
+        j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
+        j = max(i + 1, min(j, i + rows))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def ascii_lower(col):

@@ -1,20 +1,19 @@
 """Operator 3, mixing sources to target weights. DataFrame functions only.
 
 Tokens are summed per source; weights give each source a target and so a repetition rate; every
-document is emitted floor(rate) times and once more by a draw seeded with its hash, whose
-probability is the rate's fraction.
-
-The draws of a source are spread evenly: its documents are put in an order by size and hash and take
-a copy wherever the running sum of the fraction, shifted by a hash-seeded start, passes a whole
-number. Documents with a large share of their source are drawn first, level by level; what they
-took changes the fraction of the smaller ones, so that the sum stays at the target (on average over
-the draws, every document keeps the fraction as its probability). The words drawn so lie much nearer
-to the target than with independent draws. The running sums are counted in small independent strata,
-so that no task ever holds a source.
+document is emitted floor(rate) times and once more by a draw of its own, whose probability is the
+rate's fraction: a hash of its key and size, under the source's seed, lies below the fraction.
+
+A few long documents can carry a source, so that one set of independent draws may miss its target by
+far. Therefore SEEDS seeds are tried for each source, all in one aggregate, and the one whose draws
+come nearest to the target is taken (rerandomisation). Draws stay independent of each other under
+every seed, and over many base seeds a document that is small in its source is drawn with the
+fraction as its frequency; one that alone outweighs the target's tolerance is drawn when that helps.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,11 +23,10 @@ from .common import saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-#: Documents that one stratum of a source holds about.
-STRATUM = 2000
-#: Shares of a source's size, in thousandths, from which a document belongs to the first, second and
-#: third level; a level has at most 1000 / share documents of a source.
-LEVELS = (80, 20, 5)
+#: Seeds that are tried for each source; the prime of the draws' hash family.
+SEEDS, PRIME = 64, (1 << 31) - 1
+#: Sources up to which what is known of each is broadcast.
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,83 +72,90 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
     return ranked.withColumn("target", target)
 
 
-def _hash(*parts: Column) -> Column:
-    """A number in [0, 1) from the md5 of the parts; the same in other engines."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+def _multipliers(base: int) -> list[tuple[int, int]]:
+    """The two numbers of each seed, below PRIME, from the md5 of base and the seed's number."""
+    digest = lambda k, part: int(hashlib.md5(f"{part}:{base}:{k}".encode()).hexdigest()[:8], 16)
+    return [(1 + digest(k, "a") % (PRIME - 1), digest(k, "b") % PRIME) for k in range(SEEDS)]
 
 
-def _drawn(rows: DataFrame, state: DataFrame, many: bool) -> DataFrame:
-    """rows with extra, 1 for those that get one more copy, by the fractions in state."""
-    fractions = [c for c in state.columns if c[0] == "f"]
-    chosen = state.select("__of", F.array(*fractions).alias("__f"))
-    joined = rows.join(chosen if many else F.broadcast(chosen), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
-    within = Window.partitionBy("source", "__level", "__s").orderBy("size", "__h", F.col("id").asc_nulls_first())
-    n, fraction = F.row_number().over(within), F.col("__f")[F.col("__level")]
-    tag = F.coalesce(F.col("source"), F.lit("\x00"))
-    start = _hash(F.lit("start"), tag, F.col("__level").cast("string"), F.col("__s").cast("string"))
-    return joined.withColumn("extra", F.floor(n * fraction + start) - F.floor((n - 1) * fraction + start)).drop("__f")
+def _document_hash(key: Column, size: Column) -> Column:
+    """A number below PRIME; rows of one key and size share it. A missing key is an empty text."""
+    text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), size.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(PRIME)
 
 
-def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, max_rate: int = MAX_RATE, stratum: int = STRATUM) -> DataFrame:
+def _draw(h: Column, a: Column, b: Column) -> Column:
+    """The hash of a document under a seed, in [0, 1)."""
+    return ((a * h + b) % F.lit(PRIME)) / F.lit(float(PRIME))
+
+
+def _seeded(sized: DataFrame, aims: DataFrame, max_rate: int, base: int) -> DataFrame:
+    """aims with each source's rate, fraction and the numbers of its seed: one aggregate over all documents."""
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_rate)))).otherwise(F.lit(0.0))
+    rated = aims.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    rows = _with_source(sized, rated)
+    numbers = _multipliers(base)
+    taken = [F.sum(F.when(_draw(F.col("h"), F.lit(a), F.lit(b)) < F.col("fraction"), F.col("size")).otherwise(F.lit(0).cast("bigint"))) for a, b in numbers]
+    sums = rows.groupBy("__source").agg(F.first("fraction").alias("__f"), F.first("source_size").alias("__n"), F.array(*taken).alias("took"))
+    off = F.transform("took", lambda t, k: F.struct(F.abs(t - F.col("__f") * F.col("__n")).alias("off"), k.alias("k")))
+    chosen = sums.select(F.col("__source").alias("__of"), F.array_min(off)["k"].alias("seed"))
+    pairs = F.array(*(F.array(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")) for a, b in numbers))
+    return rated.join(chosen, F.col("__source").eqNullSafe(F.col("__of")), "left").withColumn("__ab", pairs[F.coalesce("seed", F.lit(0))]).drop("__of", "seed")
+
+
+def _with_source(rows: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
+    """rows with what is known of their source."""
+    many = plan.limit(FEW_SOURCES + 1).count() > FEW_SOURCES
+    return rows.join(plan if many else F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source")))
+
+
+def _plan(docs: DataFrame, text: str, key: str, source: str, weights, max_rate: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes, and one row for each source."""
+    size = F.coalesce(word_count(F.col(text)), F.lit(0)).cast("bigint")
+    sized = saved(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size")).withColumn("h", _document_hash(F.col("id"), F.col("size"))))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    aims = targets(per_source, weights, max_rate).select(F.col("source").alias("__source"), "source_size", "target")
+    return sized, saved(_seeded(sized, saved(aims), max_rate, seed))
+
+
+def _copies(h: Column) -> Column:
+    extra = F.when(_draw(h, F.col("__ab")[0], F.col("__ab")[1]) < F.col("fraction"), F.lit(1)).otherwise(F.lit(0))
+    return (F.floor("rate") + extra).cast("bigint")
+
+
+def copies(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
     """key, source, size, source_size, target, copies for every row.
 
-    A null text has size 0; a null source is a source of its own, the last. A source without words
-    has target 0 and no copies. Rows with the same key, source and size get the same number of copies
-    up to one. An empty table gives no rows; other columns don't matter.
+    A null or empty text has size 0; a null source is a source of its own, the last. A source without
+    words has target 0 and no copies. Rows of one key and size draw alike, repeated ones too; ties
+    between seeds go to the first. Texts are only counted, so that their length doesn't matter. An
+    empty table gives no rows; other columns don't matter.
     """
-    sized = saved(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.coalesce(word_count(F.col(text)), F.lit(0)).cast("bigint").alias("size")))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
-    aims = saved(targets(per_source.select("source", "source_size"), weights, max_rate).withColumnRenamed("source", "__source"))
-    plan = (
-        aims.join(per_source.select(F.col("source").alias("__of"), "documents"), F.col("__source").eqNullSafe(F.col("__of")))
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_rate)))).otherwise(F.lit(0.0)))
-        .select("__source", "source_size", "target", "rate", F.ceil(F.col("documents") / stratum).cast("bigint").alias("strata"))
-    )
-    many = plan.limit(100_001).count() > 100_000
-    rows = sized.join(plan if many else F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    level = F.lit(len(LEVELS))
-    for n, share in reversed(list(enumerate(LEVELS))):
-        level = F.when(1000 * F.col("size") >= share * F.col("source_size"), n).otherwise(level)
-    rows = rows.withColumn("__level", level).withColumn("__h", F.md5(F.concat_ws(":", F.lit("copy"), F.col("id").cast("string"))))
-    spread = F.when(F.col("__level") == len(LEVELS), F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint") % F.col("strata")).otherwise(F.lit(0).cast("bigint"))
-    rows = rows.withColumn("__s", spread)
-
-    # one row for each source: what the levels so far took, and each level's fraction
-    state = plan.select(F.col("__source").alias("__of"), "source_size", (F.col("rate") - F.floor("rate")).alias("whole"), F.lit(0).cast("bigint").alias("took"), F.lit(0).cast("bigint").alias("done"))
-    for n in range(len(LEVELS) + 1):
-        rest = (F.col("whole") * F.col("source_size") - F.col("took")) / F.nullif(F.col("source_size") - F.col("done"), F.lit(0).cast("bigint"))
-        state = state.withColumn(f"f{n}", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(rest, F.lit(0.0)))))
-        if n < len(LEVELS):
-            level_rows = _drawn(rows.filter(F.col("__level") == n), state, many)
-            sums = level_rows.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).cast("bigint").alias("own_took"), F.sum("size").alias("own_done"))
-            joined = state.join(sums, F.col("__of").eqNullSafe(F.col("source")), "left")
-            state = saved(joined.withColumn("took", F.col("took") + F.coalesce("own_took", F.lit(0))).withColumn("done", F.col("done") + F.coalesce("own_done", F.lit(0))).drop("source", "own_took", "own_done"))
-    rows = _drawn(rows, saved(state), many)
-    extra = F.col("extra")
-    return rows.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.floor("rate") + extra).cast("bigint").alias("copies"))
-
-
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """docs, each row as often as its number of copies says, with its own columns."""
-    plan = copies(docs, text, key, source, **options).select(F.col(key).alias("__key"), F.col("copies").alias("__copies"), F.col(source).alias("__source"), F.col("size").alias("__size"))
-    # the same key twice: rows are paired by key, source and size, each pair's copies added up and dealt evenly
-    plan = plan.groupBy("__key", "__source", "__size").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    names = docs.columns
-    same = F.col(f"d.{key}").eqNullSafe(F.col("p.__key")) & F.col(f"d.{source}").eqNullSafe(F.col("p.__source")) & F.coalesce(word_count(F.col(f"d.{text}")), F.lit(0)).eqNullSafe(F.col("p.__size"))
-    joined = docs.alias("d").join(plan.alias("p"), same)
-    each = F.ceil(F.col("p.__copies") / F.col("p.__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), each))).select(*(F.col(f"d.`{n}`") for n in names))
+    sized, plan = _plan(docs, text, key, source, weights, max_rate, seed)
+    rows = _with_source(sized, plan)
+    return rows.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", _copies(F.col("h")).alias("copies"))
+
+
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = 0) -> DataFrame:
+    """docs, each row as often as copies() says, with its own columns. No text is shuffled: a draw needs only its row."""
+    _, plan = _plan(docs, text, key, source, weights, max_rate, seed)
+    plan = plan.select("__source", "rate", "fraction", "__ab")
+    own = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("__row"))
+    row = lambda n: F.col("__row").getField(n)
+    size = F.coalesce(word_count(row(text)), F.lit(0)).cast("bigint")
+    joined = _with_source(own.withColumn("__from", row(source)), plan, "__from").withColumn("__copies", _copies(_document_hash(row(key), size)))
+    return joined.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(row(n).alias(n) for n in docs.columns))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-_TEMPLATE = r"""
+SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS documents,
+  SELECT source, sum(size)::BIGINT AS source_size,
          ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight
   FROM d GROUP BY source
 ), r AS (
@@ -163,41 +168,20 @@ WITH d AS (
   SELECT min_by(unit, k) AS unit FROM u WHERE unit * weight <= 3 * source_size
 ), p AS (
   SELECT source, source_size, least(t.unit * weight, (3 * source_size)::DOUBLE) AS target,
-         CASE WHEN source_size > 0 THEN least(least(t.unit * weight, (3 * source_size)::DOUBLE) / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-         ceil(documents / 2000.0)::BIGINT AS strata
+         CASE WHEN source_size > 0 THEN least(least(t.unit * weight, (3 * source_size)::DOUBLE) / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
   FROM s, t
 ), h AS (
-  SELECT d.doc_id, d.size, p.*, md5('copy:' || d.doc_id::VARCHAR) AS hash FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-), q AS (
-  SELECT *, {LEVEL} AS level, CASE WHEN {LEVEL} = {LAST} THEN ('0x' || hash[1:8])::BIGINT % strata ELSE 0 END AS stratum FROM h
-), n AS (
-  SELECT *, row_number() OVER (PARTITION BY source, level, stratum ORDER BY size, hash, doc_id NULLS FIRST) AS n,
-         ('0x' || md5('start:' || coalesce(source, chr(0)) || ':' || level || ':' || stratum)[1:12])::BIGINT / 281474976710656.0::DOUBLE AS start
-  FROM q
-), l0 AS (
-  SELECT source, source_size, rate - floor(rate) AS whole, 0::BIGINT AS took, 0::BIGINT AS done, rate - floor(rate) AS f FROM p
-), {LOOP}
-x AS ({EVERY})
-SELECT n.doc_id, n.size, n.source_size, n.target, (n.size * (floor(n.rate) + floor(n.n * x.f + n.start) - floor((n.n - 1) * x.f + n.start)))::BIGINT AS taken
-FROM n JOIN x ON x.source IS NOT DISTINCT FROM n.source AND x.level = n.level
+  SELECT d.doc_id, d.size, p.*, rate - floor(rate) AS fraction, ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || size)[1:8])::BIGINT % {PRIME} AS h
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), seeds AS (
+  SELECT k, 1 + ('0x' || md5('a:0:' || k)[1:8])::BIGINT % {PRIME - 1} AS a, ('0x' || md5('b:0:' || k)[1:8])::BIGINT % {PRIME} AS b FROM (SELECT unnest(range({SEEDS})) AS k)
+), tried AS (
+  SELECT source, k, any_value(a) AS a, any_value(b) AS b,
+         abs(sum(CASE WHEN ((a * h + b) % {PRIME})::DOUBLE / {PRIME}.0::DOUBLE < fraction THEN size ELSE 0 END)::DOUBLE - any_value(fraction) * any_value(source_size)) AS off
+  FROM h, seeds GROUP BY source, k
+), best AS (
+  SELECT source, a, b FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, k) AS n FROM tried) WHERE n = 1
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN ((a * h + b) % {PRIME})::DOUBLE / {PRIME}.0::DOUBLE < fraction THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM h JOIN best ON best.source IS NOT DISTINCT FROM h.source
 """
-
-
-def _sql() -> str:
-    """The statement with a step for each level."""
-    level = "CASE " + " ".join(f"WHEN 1000 * size >= {share} * source_size THEN {n}" for n, share in enumerate(LEVELS)) + f" ELSE {len(LEVELS)} END"
-    loop = "".join(
-        f"""t{n} AS (
-  SELECT l.source, coalesce(sum(n.size * (floor(n.n * l.f + n.start) - floor((n.n - 1) * l.f + n.start))), 0)::BIGINT AS took, coalesce(sum(n.size), 0)::BIGINT AS done
-  FROM l{n} l LEFT JOIN n ON n.source IS NOT DISTINCT FROM l.source AND n.level = {n} GROUP BY l.source
-), l{n + 1} AS (
-  SELECT source, source_size, whole, took, done, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((whole * source_size - took) / nullif(source_size - done, 0), 0.0::DOUBLE))) AS f
-  FROM (SELECT l.source, l.source_size, l.whole, l.took + t.took AS took, l.done + t.done AS done FROM l{n} l JOIN t{n} t ON t.source IS NOT DISTINCT FROM l.source)
-), """
-        for n in range(len(LEVELS))
-    )
-    every = " UNION ALL ".join(f"SELECT source, {n} AS level, CASE WHEN source_size > 0 THEN f ELSE 0.0::DOUBLE END AS f FROM l{n}" for n in range(len(LEVELS) + 1))
-    return _TEMPLATE.replace("{LEVEL}", level).replace("{LAST}", str(len(LEVELS))).replace("{LOOP}", loop.rstrip()).replace("{EVERY}", every)
-
-
-SQL = _sql()

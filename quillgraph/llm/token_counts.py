@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, slices, table, utf8
+from .common import SLICE_BYTES, arrow, slices, table, utf8
 from .words import Column, WordTable, hashes, lut, spans, sums
 
 MARK = "▁"
@@ -55,6 +55,7 @@ class Counter:
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in vocabulary)
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         pieces = {piece for piece, _ in vocabulary}
         self.bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
@@ -62,27 +63,29 @@ class Counter:
         self.cuts = not any("\n" in p or " " in p for p in pieces)
 
     def path(self, word: str) -> tuple[int, float]:
-        """Pieces and score of the best path through a word."""
-        n = len(word)
-        best: list[float | None] = [None] * (n + 1)
-        count = [0] * (n + 1)
+        """Pieces and score of the best path through a word; only as many places are kept as the longest piece spans."""
+        width = self.longest + 1
+        best: list[float | None] = [None] * width
+        count = [0] * width
         best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, hit in self.automaton.iter(word):
-            ends[end + 1].append(hit)
-        for end in range(1, n + 1):
+        hits = iter(self.automaton.iter(word))
+        hit = next(hits, None)
+        for end in range(1, len(word) + 1):
             top, pieces, alone = None, 0, False
-            for length, score in ends[end]:
-                before = best[end - length]
+            while hit is not None and hit[0] == end - 1:
+                length, score = hit[1]
+                at = (end - length) % width
                 alone = alone or length == 1
-                if before is not None and (top is None or before + score > top):
-                    top, pieces = before + score, count[end - length] + 1
-            if not alone and best[end - 1] is not None:
-                score = best[end - 1] + self.unknown
+                if best[at] is not None and (top is None or best[at] + score > top):
+                    top, pieces = best[at] + score, count[at] + 1
+                hit = next(hits, None)
+            at = (end - 1) % width
+            if not alone and best[at] is not None:
+                score = best[at] + self.unknown
                 if top is None or score > top:
-                    top, pieces = score, count[end - 1] + (len(word[end - 1].encode()) if self.bytes else 1)
-            best[end], count[end] = top, pieces
-        return count[n], best[n]
+                    top, pieces = score, count[at] + (len(word[end - 1].encode()) if self.bytes else 1)
+            best[end % width], count[end % width] = top, pieces
+        return count[len(word) % width], best[len(word) % width]
 
     def whole(self, text: str) -> tuple[int, float]:
         """The plain way: each marked word by itself. Used where a text holds the marker literally."""
@@ -117,11 +120,20 @@ class Batch:
         counts, scores = np.zeros(len(column), np.int64), np.zeros(len(column), np.float64)
         for rows, part, at, place in slices(data, offs, _SPLIT):
             before = int(data[place - 1]) if place > offs[rows[0]] else None
-            counts_, scores_ = self._slice(part, at, before)
+            counts_, scores_ = (self._long_word if len(part) > 2 * SLICE_BYTES else self._slice)(part, at, before)
             counts[rows] += counts_
             scores[rows] += scores_
         return counts, scores
 
+    def _long_word(self, part: np.ndarray, at: np.ndarray, before: int | None) -> tuple[int, float]:
+        """A part that couldn't be cut: one word, and perhaps the space or newline behind it."""
+        last = int(part[-1])
+        word = (part[:-1] if _SPLIT[last] else part).tobytes().decode("utf-8", "replace")
+        count, score = self.counter.path((MARK if before is None or before == 0x20 else "") + word)
+        for c, s in ((self.lone,) if last == 0x20 else (self.newline,) if last == 0x0A else ()):
+            count, score = count + c, score + s
+        return (count - self.lone[0], score - self.lone[1]) if before == 0x20 else (count, score)
+
     def _slice(self, part: np.ndarray, at: np.ndarray, before: int | None) -> tuple[np.ndarray, np.ndarray]:
         """before: the byte before a later part of a long text."""
         if not len(part):
@@ -166,8 +178,10 @@ class Batch:
 def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """keep, n_tokens and best_score of every row's whole text.
 
-    A null or empty text has 0 tokens and score 0. Repeated rows are counted each by itself; other
-    columns don't matter. path: a sentencepiece model file, by default the public 32k vocabulary.
+    A null or empty text has 0 tokens and score 0; a text of any length is counted a slice at a time,
+    one without spaces with as many places as the longest piece spans. Ties between paths go as the
+    module says. Repeated rows are counted each by itself; an empty table gives no rows; other columns
+    don't matter. path: a sentencepiece model file, by default the public 32k vocabulary.
     """
     path = path or vocabulary_path()
 
