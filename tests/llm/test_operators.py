@@ -206,7 +206,71 @@ def test_alignment():
     one, two = (html_extract.page_wrapper(html_extract.parse(h)) for h in ("<ul><li>a<li>b</ul><p>x</p>", "<ul><li>a</ul><hr><p>y</p>"))
     merged = html_extract._merge(one, two)
     assert [(x[0], x[1], x[2]) for x in merged[3]] == [("ul", False, False), ("hr", False, True), ("p", False, False)]
-    assert merged[3][0][3][0][1] is True and merged[3][2][3][0] == ["#", 2, None]
+    assert merged[3][0][3][0][1] is True and merged[3][2][3][0] == ["#", 2, None, 2]
+
+
+class Site:
+    """A host of made-up pages: a template with names that mean nothing (or mislead), content that varies, chrome around it."""
+
+    def __init__(self, rng: random.Random, semantic: bool):
+        self.rng, self.semantic = rng, semantic
+        name = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+        self.names = [name() for _ in range(12)]
+        self.words = [name() for _ in range(300)]
+        self.article = rng.choice(["post comments-open", "post category-reviews", "tag-search", "has-sidebar", name()])
+        self.links = [self.text(1, 2) for _ in range(rng.randrange(3, 9))]
+        self.about, self.depth = self.text(5, 30), rng.randrange(4)
+
+    def text(self, least: int, most: int) -> str:
+        return " ".join(self.rng.choices(self.words, k=self.rng.randrange(least, most)))
+
+    def page(self) -> tuple[str, str]:
+        title, paragraphs = self.text(2, 9), [self.text(20, 90) for _ in range(self.rng.randrange(2, 9))]
+        body = "".join(f"<p>{p}" if self.rng.random() < 0.5 else f"<p>{p}</p>" for p in paragraphs)
+        n = self.names
+        inner = f'<h1>{title}</h1>{body}<div class="ad">{self.text(3, 8)}</div>'
+        if self.semantic:
+            inner = f'<article class="{self.article}">{inner}<section id="comments">{self.text(5, 60)}</section></article>'
+        else:
+            inner = f'<div class="{n[0]}">{inner}</div>'
+        for k in range(self.depth):
+            inner = f'<div class="{n[1 + k]}">{inner}</div>'
+        menu = "".join(f'<li><a href="/{k}">{t}</a>' for k, t in enumerate(self.links))
+        teasers = "".join(f'<div class="{n[8]}"><a href="/t">{self.text(4, 12)}</a></div>' for _ in range(self.rng.randrange(5)))
+        page = f'<html><head><title>{title}</title></head><body><div class="{n[9]}"><ul>{menu}</ul></div><div class="{n[10]}">{inner}<div class="{n[11]}">{teasers}<p>{self.about}</p></div></div><footer>{self.text(2, 9)}</footer>'
+        return page, "\n".join([title, *paragraphs])
+
+
+def test_generated_sites(spark):
+    rng, rows, wanted = random.Random(8), [], {}
+    for host in range(24):
+        site = Site(rng, host % 2 == 0)
+        for _ in range(1 + host % 9 if host % 2 == 0 else rng.randrange(3, 12)):
+            page, wanted[len(rows)] = site.page()
+            rows.append((len(rows), f"http://h{host}.org/", page))
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert found == wanted
+
+
+def test_many_siblings_and_levels():
+    many = "".join(f'<div class="k{"abcdefghij"[i % 10]}{"klmnopqrst"[i // 10 % 10]}x">{i}</div><p>{i}' for i in range(20_000))
+    one, two = (html_extract.page_wrapper(html_extract.parse(f"<article>{h}</article>")) for h in (many, many[200:] + "<hr>"))
+    merged = html_extract._merge(one, two)
+    assert len(merged[3][0][3]) <= html_extract.WIDEST
+    assert html_extract.main_text(html_extract.parse(f"<article>{many}</article>")).count("\n") == 39_999
+    deep = "<div>" * 5000 + "<form>no<div>no</div></form><p>yes</p>" + "</i></div>" * 5000
+    assert html_extract.main_text(html_extract.parse(f"<main>{deep}<p>end</main>")) == "yes\nend"
+
+
+def test_long_lists_are_aligned():
+    rng = random.Random(3)
+    a = [[f"t{rng.randrange(5)}.u{i}" if i % 3 else "p", False, False, []] for i in range(3000)]
+    b = [x for x in a if rng.random() < 0.9]
+    pairs = html_extract._matches(a, b)
+    assert all(a[i][0] == b[j][0] for i, j in pairs) and all(x < y and p < q for (x, p), (y, q) in zip(pairs, pairs[1:]))
+    assert len(pairs) > 0.97 * len(b)
+    repeated = [["p", False, False, []], ["div", False, False, []]] * 1500
+    assert len(html_extract._matches(repeated, repeated[1:] + repeated[:1])) > 2900
 
 
 # 7
