@@ -1,66 +1,55 @@
 """Operator 9, license scans: a positional index of rare words. DataFrame functions only.
 
-Licence templates are indexed by their rarest words (highest inverse template frequency) with the
-words' positions. All licence words of a text are looked up; postings of one template at the same
-relative position (word in the text minus word in the template) vote together. A template is found
-where enough of its anchors agree on one place and all its mandatory key phrases stand in the text.
+Every row's words that occur in licence templates are noted; their document frequencies over the
+whole table give inverse document frequencies. The ANCHORS words of a template that are the rarest
+there, with their positions, are its postings. Of a text that holds all mandatory key phrases of a
+template, the postings are intersected by relative position: those at the same place (word in the
+text minus word in the template) vote together. The template is found where enough of its anchors'
+weight agrees on one place.
 
 Texts are brought to a form in which each word has a space of its own before and behind
 (" mit  license "), so that phrases are counted and located with plain string functions; only texts
-that hold a word which every template needs are split into words.
+with a template's key phrases are split into words.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved, table
+from .common import LOWER, UPPER, ascii_lower, saved, table
+from .licenses import TEMPLATES
 
 #: Fixed by contract: phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Short forms and key sentences of public licences: label, text, mandatory key phrases.
-TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "obtaining a copy of this software"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", ["lesser general public license version 3"]),
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", ["affero general public license version 3"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["licensed under", "cc by 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["licensed under", "cc by sa 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["licensed under", "cc by nc 4 0"]),
-    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", ["licensed under", "cc by nc sa 4 0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-]
 #: Every template's key phrases hold one of these.
-GATES = ("licens", "permission is", "redistribution", "unencumbered")
-#: Rarest words of a template that are its anchors; rarest licence words of a text that the SQL looks up (the operator: all).
-ANCHORS, LOOKED_UP = 6, 24
+GATES = ("licens", "permission", "redistribut", "unencumbered", "warranty")
+#: Words of a template, the rarest of the table, that are its anchors.
+ANCHORS = 8
 #: Share of a template's anchor weight that must agree on one place.
 AGREE = 0.6
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def anchors(templates=TEMPLATES) -> list[tuple[int, str, str, int, float, float]]:
-    """(template, label, word, position, weight, share of the template's weight) of all anchors."""
-    texts = [t.split() for _, t, _ in templates]
-    df = Counter(w for words in texts for w in set(words))
+def words_of(text: str) -> list[str]:
+    return re.sub(SEPARATORS, " ", text.translate(str.maketrans(UPPER, LOWER))).split()
+
+
+def anchors(templates, frequencies: dict[str, int], n: int) -> list[tuple[int, str, str, int, float]]:
+    """(template, label, word, position, share of the template's weight) of all anchors, from the document frequencies in n rows."""
     out = []
-    for n, words in enumerate(texts):
-        weight = {w: round(math.log((1 + len(texts)) / df[w]), 6) for w in words}
-        rare = sorted(weight, key=lambda w: (-weight[w], w))[:ANCHORS]
+    for number, (label, text, _) in enumerate(templates):
+        words = words_of(text)
+        weight = {w: round(math.log(1 + (n + 1) / (frequencies.get(w, 0) + 1)), 6) for w in words}
+        rare = set(sorted(weight, key=lambda w: (-weight[w], w))[:ANCHORS])
         places = [(w, p) for p, w in enumerate(words) if w in rare]
         total = sum(weight[w] for w, _ in places)
-        out += [(n, templates[n][0], w, p, weight[w], weight[w] / total) for w, p in places]
+        out += [(number, label, w, p, weight[w] / total) for w, p in places]
     return out
 
 
@@ -81,10 +70,13 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
     of the base phrases; first_word and last_word are the least and greatest start among them (words
     from 0), null without any. labels: the base labels and those of the templates found, distinct,
     sorted, comma-joined (empty without any). score: the largest share of anchor weight that a found
-    template got, 1 where a base phrase stands. A null text is empty. Every one of repeated rows is
-    scanned by itself. An empty table gives no rows; other columns don't matter.
+    template got, 1 where a base phrase stands. A null text is empty; texts of any length are scanned
+    whole. Words of equal frequency are ranked by code point. Every one of repeated rows is scanned by
+    itself (and counts in the frequencies). An empty table gives no rows; other columns don't matter.
+    templates: (label, text, key phrases in words of the text); a small table, for it is broadcast.
     """
     spark = docs.sparkSession
+    vocabulary = sorted({w for _, text, _ in templates for w in words_of(text)})
     lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key).alias("id"), F.trim(F.regexp_replace(lower, SEPARATORS, "  ")).alias("s"))
     rows = rows.select("id", F.when(F.length("s") > 0, F.concat(F.lit(" "), "s", F.lit(" "))).otherwise(F.lit("")).alias("s"))
@@ -101,7 +93,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
         labels.append(F.when(n > 0, F.lit(label)))
     gate = licensed
     for word in GATES[1:]:
-        gate = gate | s.contains(_spaced(word).strip())
+        gate = gate | s.contains(word)
     scanned = saved(
         rows.select(
             F.monotonically_increasing_id().alias("row"),
@@ -111,9 +103,13 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
             F.least(*first).alias("first_word"),
             F.greatest(*last).alias("last_word"),
             F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
+            F.array_intersect(F.split(F.trim("s"), "  "), F.array(*(F.lit(w) for w in vocabulary))).alias("known"),
             F.when(gate, s).alias("s"),
         )
     )
+    # as many rows as the templates have words
+    frequencies = {r["word"]: r["n"] for r in scanned.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    index = anchors(templates, frequencies, scanned.count())
     keys = {n: _all_in(phrases) for n, (_, _, phrases) in enumerate(templates)}
     gated = scanned.filter(s.isNotNull())
     for n, holds in keys.items():
@@ -123,10 +119,10 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
         any_key = any_key | F.col(f"k{n}")
     gated = gated.filter(any_key).withColumn("verified", F.array_compact(F.array(*(F.when(F.col(f"k{n}"), F.lit(n)) for n in keys)))).select("row", "verified", "s")
     # the index is as large as the templates
-    postings = F.broadcast(spark.createDataFrame(anchors(templates), "template int, label string, word string, at int, weight double, share double"))
+    postings = F.broadcast(spark.createDataFrame(index, "template int, label string, word string, at int, share double"))
     words = gated.select("row", "verified", F.posexplode(F.split(F.trim("s"), "  ")).alias("pos", "word"))
     looked_up = words.join(postings, "word").filter(F.array_contains("verified", F.col("template")))
-    votes = looked_up.groupBy("row", "template", "label", (F.col("pos") - F.col("at")).alias("place")).agg(F.sum("share").alias("share"))
+    votes = looked_up.groupBy("row", "template", "label", (F.col("pos") - F.col("at")).alias("place")).agg(F.round(F.sum("share"), 6).alias("share"))
     found = votes.filter(F.col("share") >= AGREE).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     out = scanned.join(found, "row", "left")
     return out.select(
@@ -153,41 +149,43 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    index = ", ".join(f"({n}, '{label}', '{word}', {at}, {weight!r}::DOUBLE, {share!r}::DOUBLE)" for n, label, word, at, weight, share in anchors())
+    words = ", ".join(f"({n}, '{label}', '{w}', {at})" for n, (label, text, _) in enumerate(TEMPLATES) for at, w in enumerate(words_of(text)))
     keys = ", ".join(f"({n}, '{_spaced(p)}')" for n, (_, _, phrases) in enumerate(TEMPLATES) for p in phrases)
     base = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE.items())
     return rf"""
-WITH idx(template, label, word, anchor, weight, share) AS (VALUES {index}),
+WITH t(template, label, word, anchor) AS (VALUES {words}),
 keys(template, phrase) AS (VALUES {keys}),
 base(phrase, label, n) AS (VALUES {base}),
-d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
-), p AS (
-  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos, w FROM d
+), p AS MATERIALIZED (
+  SELECT row, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), q AS (
+  SELECT row, pos, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three FROM p WINDOW o AS (PARTITION BY row ORDER BY pos)
 ), b AS (
-  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels
-  FROM p JOIN base ON array_to_string(p.w[p.pos + 1 : p.pos + base.n], ' ') = base.phrase GROUP BY doc_id
+  SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels
+  FROM q JOIN base ON CASE WHEN base.n = 2 THEN two ELSE three END = base.phrase GROUP BY row
 ), v AS (
-  SELECT d.doc_id, k.template FROM d, keys k
-  GROUP BY d.doc_id, k.template HAVING bool_and(contains(' ' || array_to_string(d.w, '  ') || ' ', k.phrase))
-), known AS (
-  SELECT p.doc_id, p.word, p.pos, i.idf FROM p JOIN (SELECT word, max(weight) AS idf FROM idx GROUP BY word) i USING (word)
-  WHERE p.doc_id IN (SELECT doc_id FROM v)
-), ranked AS (
-  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT doc_id, word, idf FROM known)
+  SELECT d.row, k.template FROM d, keys k
+  GROUP BY d.row, k.template HAVING bool_and(contains(' ' || array_to_string(d.w, '  ') || ' ', k.phrase))
+), idf AS (
+  SELECT word, round(ln(1 + ((SELECT count(*) FROM d) + 1)::DOUBLE / (count(DISTINCT p.row) + 1)), 6) AS idf FROM (SELECT DISTINCT word FROM t) LEFT JOIN p USING (word) GROUP BY word
+), rare AS (
+  SELECT template, word, idf FROM (SELECT template, word, idf, row_number() OVER (PARTITION BY template ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT template, word FROM t) JOIN idf USING (word)) WHERE k <= {ANCHORS}
+), idx AS (
+  SELECT template, label, word, anchor, idf / sum(idf) OVER (PARTITION BY template) AS share FROM t JOIN rare USING (template, word)
 ), votes AS (
-  SELECT doc_id, template, label, pos - anchor AS place, sum(share) AS share
-  FROM known JOIN ranked USING (doc_id, word) JOIN idx USING (word) JOIN v USING (doc_id, template)
-  WHERE k <= {LOOKED_UP} GROUP BY ALL HAVING sum(share) >= {AGREE}
+  SELECT row, template, label, pos - anchor AS place, round(sum(share), 6) AS share
+  FROM p JOIN idx USING (word) JOIN v USING (row, template) GROUP BY ALL HAVING round(sum(share), 6) >= {AGREE}
 ), f AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(share) AS best FROM votes GROUP BY doc_id
+  SELECT row, list(DISTINCT label) AS found, max(share) AS best FROM votes GROUP BY row
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
        coalesce(array_to_string(b.labels, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.found, [])))), ','), '') AS labels,
        CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE round(least(coalesce(f.best, 0.0), 1.0), 6)::DOUBLE END AS score
-FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)
+FROM d LEFT JOIN b USING (row) LEFT JOIN f USING (row)
 """
 
 

@@ -382,13 +382,17 @@ def test_license_scan(spark):
     assert found[1]["labels"] == "cc-by-nc-4.0" and found[4]["n_words"] == 0
 
 
-def test_license_scan_of_long_texts(spark):
-    texts = [t for _, t, _ in license_scan.TEMPLATES]
-    every = "\n".join(texts)  # holds all words of the index
-    rows = [(0, every), *((n, f"{t} and nothing else. " + " ".join(sorted(set(every.split())))) for n, t in enumerate(texts, 1))]
+def test_license_scan_of_whole_texts(spark):
+    templates = [(label, " ".join(text.split()), keys) for label, text, keys in license_scan.TEMPLATES]
+    assert all(any(g in key for key in keys for g in license_scan.GATES) for _, _, keys in templates)
+    bsd = next(t for label, t, _ in templates if label == "bsd-2-clause")
+    whole = [t if label != "bsd-3-clause" else bsd[: bsd.index("THIS SOFTWARE")] + t for label, t, _ in templates]
+    every = "\n".join(whole)
+    rows = [(0, "word " * 300_000 + every), *((n, f"/* {t} */ and nothing else. " + "more text " * 50) for n, t in enumerate(whole, 1)), *((100 + n, "some other text") for n in range(60))]
     found = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {label for label, _, _ in license_scan.TEMPLATES} <= set(found[0])
-    assert all(license_scan.TEMPLATES[n - 1][0] in found[n] for n in range(1, len(rows)))
+    assert {label for label, _, _ in templates} <= set(found[0])
+    assert all(templates[n - 1][0] in found[n] for n in range(1, len(whole) + 1))
+    assert found[100] == [""]
 
 
 # 10
