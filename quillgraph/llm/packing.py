@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, saved, slices, table, utf8
+from .common import arrow, portions, saved, slices, table, utf8
 from .words import SPACE, Column, WordTable, hashes, spans
 
 SEQUENCE = 4096
@@ -32,8 +33,8 @@ END_ID = 1
 OPEN_BINS = 256
 #: A bin that is left open at a partition's end stays as it is from this fill on.
 FULL_ENOUGH = 0.995
-#: Rows that are encoded at once; pieces of words whose ids are kept.
-TOGETHER, KEPT_PIECES = 256, 60_000
+#: Pieces of words whose ids are kept.
+KEPT_PIECES = 60_000
 #: Tokens of given-back pieces that one task of the second pass packs.
 SECOND_PASS_TOKENS = 2_000_000
 
@@ -115,7 +116,9 @@ def _model(path: str) -> tuple:
     # what the vocabulary lacks must still be a rank, but no word may use it
     for b in range(256):
         ranks.setdefault(bytes([b]), 1_000_000 + b)
-    merge = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    encoding = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+    # not part of that library's public interface: without it, every word goes to the tokenizer
+    merge = getattr(getattr(encoding, "_core_bpe", None), "encode_single_piece", None)
     return (
         Tokenizer.from_file(path),
         merge,
@@ -142,7 +145,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> list[int]:
         raw = piece.encode()
-        if (end := self.last[raw[-1]]) is not None and self.known.issuperset(raw[:-1]):
+        if self.merge is not None and (end := self.last[raw[-1]]) is not None and self.known.issuperset(raw[:-1]):
             ids = self.merge(raw[:-1].translate(self.inner) + end)
             if max(ids) < 1_000_000:
                 return ids
@@ -211,18 +214,19 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     """Pieces of all rows with their places: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     A row's ids are its text's and then end_id; a null or empty text gives end_id alone. Rows above
-    `size` ids are cut into pieces of `size`, the last perhaps shorter. Every row of repeated keys is
-    packed. Offsets in a sequence run from 0 without gaps. Ties: among bins of equal free space, the
+    `size` ids are cut into pieces of `size`, the last perhaps shorter; texts of any length are encoded
+    whole, words a slice at a time. Every row of repeated keys is packed. Offsets in a sequence run from 0 without gaps. Ties: among bins of equal free space, the
     one that got it last. An empty table gives no rows; other columns don't matter.
     """
     path = path or tokenizer_path()
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer, base = Encoder(path), Packer(size, places), TaskContext.get().partitionId() << 32
-        out: list[tuple] = []  # key index is kept beside, since keys may be of any type
+        # what is kept of each piece until its bin is known to stay: 41 bytes and the key
+        out = [array(t) for t in "iqqqqi"]
         keys: list[pa.Array] = []
 
-        for batch in (whole.slice(start, TOGETHER) for whole in batches for start in range(0, whole.num_rows, TOGETHER)):
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             rows: list[int] = []
             for row, ids in enumerate(encoder([t or "" for t in batch.column(1).to_pylist()])):
                 ids = np.append(ids, np.uint32(end_id))
@@ -231,16 +235,15 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
                     length = min(size, len(ids) - start)
                     chosen, offset = packer.put(length)
                     rows.append(row)
-                    out.append((piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), chosen, offset))
+                    for column, value in zip(out, (piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), chosen, offset), strict=True):
+                        column.append(value)
             keys.append(batch.column(0).take(pa.array(rows, pa.int64())))
-        if not out:
+        if not out[0]:
             return
-        given_back = {b for b, free in packer.left_open().items() if free > size * (1 - FULL_ENOUGH)}
-        columns = list(zip(*out, strict=True))
-        key_column = pa.concat_arrays(keys)
-        settled = [b not in given_back for b in columns[4]]
-        sequence = [base + b for b in columns[4]]
-        arrays = [key_column, *(pa.array(c, t) for c, (_, t) in zip((*columns[:4], sequence, columns[5], settled), _OUT, strict=True))]
+        given_back = np.array([b for b, free in packer.left_open().items() if free > size * (1 - FULL_ENOUGH)], np.int64)
+        piece, start, length, crc, bins, offset = (np.frombuffer(c, c.typecode) for c in out)
+        columns = (piece, start, length, crc, base + bins, offset.astype(np.int64), ~np.isin(bins, given_back))
+        arrays = [pa.concat_arrays(keys), *(pa.array(c, t) for c, (_, t) in zip(columns, _OUT, strict=True))]
         yield from pa.Table.from_arrays(arrays, names=[key, *(n for n, _ in _OUT)]).to_batches(max_chunksize=20_000)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

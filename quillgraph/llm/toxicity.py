@@ -28,9 +28,8 @@ from .words import SPACE, Column, WordTable, hashes, spans, sums
 
 #: Labelled rows that the lexicon and the logistic function are fitted on.
 FIT_ROWS = 20_000
-#: Letters of a word beginning that can become an entry; entries kept.
+#: Letters of a word beginning that can become an entry.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
-MAX_ENTRIES = 5_000
 MIN_SUPPORT = 3
 MIN_LOG_ODDS = 2.0
 
@@ -74,12 +73,22 @@ def features(folded: str) -> set[str]:
     return out
 
 
+def _features_of(text: str) -> set[str]:
+    """The features of a whole text, a slice at a time."""
+    raw, out = np.frombuffer(text.encode("utf-8", "replace"), np.uint8), set()
+    for _, part, _, _ in slices(raw, np.array([0, len(raw)]), SPACE):
+        out |= features(fold(part.tobytes().decode("utf-8", "replace")))
+    return out
+
+
 class Lexicon:
     """Entries with weights; the logistic function's three numbers."""
 
     def __init__(self, weights: dict[str, float], exceptions=EXCEPTIONS, bias: float = -3.0, total: float = 3.0, density: float = 0.0):
         self.weights, self.exceptions = weights, tuple(exceptions)
         self.bias, self.total, self.density = bias, total, density
+        #: Words of the longest exception.
+        self.reach = max((len(fold(e).split()) for e in self.exceptions), default=1)
         self.automaton = None
 
     def __getstate__(self):
@@ -107,9 +116,18 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 best[start] = max(weight, best.get(start, 0.0))
-        if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-        return sum(best.values())
+        if not spared:
+            return sum(best.values())
+        total, free = 0.0, 0  # one sweep: exceptions by their start, and how far they reach so far
+        spared.sort()
+        at = 0
+        for start in sorted(best):
+            while at < len(spared) and spared[at][0] <= start:
+                free = max(free, spared[at][1])
+                at += 1
+            if start >= free:
+                total += best[start]
+        return total
 
     def inputs(self, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
         return np.stack([np.ones(len(weight)), np.log1p(weight), np.log1p(100 * weight / np.maximum(words, 1))], axis=1)
@@ -153,16 +171,31 @@ class Weigher:
             weight[rows] += sums(self.hit.values[index], starts, at)
             words[rows] += np.diff(np.searchsorted(starts, at))
         for i in np.flatnonzero(weight > 1e-9).tolist():
-            weight[i] = self.lexicon.weight(fold(column[i].as_py()))
+            weight[i] = self._whole(data[offs[i] : offs[i + 1]])
         return weight, words
 
+    def _whole(self, raw: np.ndarray) -> float:
+        """The weight of a whole text, a slice at a time. The last words of a slice are seen again with
+        the next one, for an exception phrase may begin there; what they weighed alone is taken off."""
+        total, tail = 0.0, " "
+        for _, part, _, _ in slices(raw, np.array([0, len(raw)]), SPACE):
+            folded = fold(part.tobytes().decode("utf-8", "replace"))
+            together = tail + folded[1:]
+            total += self.lexicon.weight(together) - (self.lexicon.weight(tail) if len(tail) > 1 else 0.0)
+            tail = " " + "".join(f"{w} " for w in together.split()[-self.lexicon.reach :])
+        return total
+
 
 def _held_out(key: SparkColumn) -> SparkColumn:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from labelled rows outside the held-out fold. Without any, the seeds with a fixed weight."""
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from labelled rows outside the held-out fold. Without any, the seeds with a fixed weight.
+
+    Rows without key or label teach nothing; of several labels of a key the greatest counts; documents
+    of one key share its label. exceptions: phrases in which entries are harmless.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).filter(~_held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__toxic"))
     # fit_rows bounds what is broadcast here and gathered below
@@ -173,8 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter[str] = Counter()
             for batch in batches:
-                for one in batch.column(0).to_pylist():
-                    own = features(fold(one or ""))
+                for one in batch.column(0):
+                    own = _features_of(one.as_py() or "")
                     found.update(own if wanted is None else own & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
 
@@ -185,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     p, n = sizes.get(1, 0), sizes.get(0, 0)
     weights = {f" {w}": SEED_WEIGHT for w in SEEDS}
     if not p or not n:
-        return Lexicon(weights)
+        return Lexicon(weights, exceptions)
     likely = {r["feature"]: r["n"] for r in count(None, 1).filter(F.col("n") >= max(MIN_SUPPORT, p // 500)).collect()}
     wanted = frozenset(likely) | frozenset(weights)
     against = {r["feature"]: r["n"] for r in count(wanted, 0).collect()}
@@ -211,8 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         unseen = not likely.get(seed) and not against.get(seed)
         if seed not in longer and not any(seed[:k] in chosen for k in range(2, len(seed) + 1)) and (unseen or odds[seed] > 1):
             chosen[seed] = weight
-    top = sorted(chosen, key=lambda f: (-chosen[f], f))[:MAX_ENTRIES]
-    lexicon = Lexicon({f: chosen[f] for f in top})
+    lexicon = Lexicon(chosen, exceptions)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher = Weigher(lexicon)
@@ -229,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, weight, score (0 to 1) and predicted (1 if score >= 0.5) of every row's whole text.
 
-    A null or empty text has weight 0 and the score of any text without a match. Every one of
+    A null or empty text has weight 0 and the score of any text without a match; texts of any length
+    are weighed whole. Of entries that begin at the same letter the heaviest counts. Every one of
     repeated rows is scored; an empty table gives no rows; other columns don't matter.
     """
 

@@ -22,8 +22,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 BLOCKED_GLOBS = ("*spam-*#*", "*cheap-pills*#*", "*free-bets*#*", "*casino*#*", "*.ads-*#*", "*.ads.*#*", "*.adserver.*#*", "*.doubleclick.*#*")
 
 _LOWER = str.maketrans(UPPER, LOWER)
-#: URLs that are stepped together.
-TOGETHER = 4096
+#: URLs that are stepped together; bytes above which a URL is stepped by itself.
+TOGETHER, LONG = 4096, 1024
 
 
 class GlobSet:
@@ -58,6 +58,12 @@ class GlobSet:
 
     def match(self, texts: Sequence[bytes]) -> np.ndarray:
         """For each text and glob, whether the glob matches the whole text."""
+        long = [i for i, t in enumerate(texts) if len(t) > LONG]
+        if long:
+            short = self.match([b"" if len(t) > LONG else t for t in texts])
+            for i in long:
+                short[i] = self._match_long(texts[i])
+            return short
         n = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")  # the longest first: those at work stay in front
@@ -81,6 +87,17 @@ class GlobSet:
         return out
 
 
+    def _match_long(self, text: bytes) -> np.ndarray:
+        """The same steps for one text, with all words of a state as one number."""
+        whole = lambda words: int.from_bytes(np.ascontiguousarray(words, "<u8").tobytes(), "little")
+        allowed, stay, state = [whole(row) for row in self.allowed], whole(self.stay), whole(self.first)
+        for b in text:
+            state = (state << 1) & allowed[b] | state & stay
+            if not state:
+                break
+        return np.array([bool(state >> i & 1) for i in self.ends])
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path as they stand in a URL; both empty without "://"."""
     if url is None or (at := url.find("://")) < 0:
@@ -110,7 +127,7 @@ def filter_urls(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("pa
     rule wins, the earlier one of two as long. Where none fits, rule is null and the verdict is block
     if one of blocked_globs matches, else allow. A null URL or one without "://" has an empty host
     and path. Every one of repeated rows is judged; an empty table gives no rows; other columns don't
-    matter.
+    matter. URLs of any length are judged whole.
     """
     rules, blocked_globs = tuple(rules), tuple(blocked_globs)
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]), i))
