@@ -151,10 +151,10 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def semi_by_id(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def semi_by_id(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
     """rows whose key is (not) in ids(key). ids are broadcast only when counted and few; else both sides shuffle."""
     ids = ids.select(key).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = ids.limit(most + 1).count() <= most
     return rows.join(F.broadcast(ids) if small else ids, key, how)
 
 

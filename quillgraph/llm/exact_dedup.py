@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_folder, remove_at_exit, remove_folder, saved, table
+from .common import ascii_lower, new_folder, remove_at_exit, remove_folder, saved, semi_by_id, table
 
 #: Rows of a memtable; runs that one add() flushes at most (a task's later memtables go to the first
 #: runs again); runs of a level that are merged into one.
@@ -165,6 +165,23 @@ def _result(out: DataFrame, key: str) -> DataFrame:
     return out.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "min") -> DataFrame:
+    """The rows of docs that stay, with their columns: of equal texts one row, by exact_groups(); rows without a key all stay.
+
+    Rows are told apart by key and digest, so that another text of the same key isn't touched; of
+    several rows with one key and text, the one with the least columns stays.
+    """
+    groups = saved(exact_groups(docs, text, key, keep).select(F.col(key).alias("__key"), "kept", F.unhex("text_sha256").alias("__digest")).filter("__key IS NOT NULL"))
+    rows = docs.withColumn("__key", F.col(key)).withColumn("__digest", _digest(ascii_lower(F.coalesce(F.col(text), F.lit("")))))
+    both = ["__key", "__digest"]
+    out = semi_by_id(rows, groups.filter("NOT kept"), both, "left_anti", FEW_HITS)
+    twins = saved(groups.filter("kept").groupBy(*both).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*both))
+    if not twins.isEmpty():
+        one = semi_by_id(out, twins, both, most=FEW_HITS).groupBy(*both).agg(F.min(F.struct(*docs.columns)).alias("row"))
+        out = semi_by_id(out, twins, both, "left_anti", FEW_HITS).select(docs.columns).unionByName(one.select("row.*"))
+    return out.select(docs.columns)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 

@@ -1,17 +1,21 @@
-"""Operator 8, MinHash near-dedup: a multi-index Hamming join of signatures, confirmed on full sets.
+"""Operator 8, MinHash near-dedup: a multi-index Hamming join of b-bit signatures, confirmed on full sets.
 
-1. Every text becomes its set of distinct word shingles (64-bit hashes), a digest of the set and a
-   signature of SLOTS minhashes. Equal sets meet by digest; from here on each set stands once.
-2. Multi-index: the slots are cut into CHUNKS chunks; two signatures that differ in at most
-   MAX_DISTANCE slots differ in at most ERRORS slots of some chunk (pigeonhole). For each chunk and
+1. Every text becomes its set of distinct word shingles (64-bit hashes), a node (a digest of the set)
+   and a signature: KEY_SLOTS whole minhashes and BITS bits of each of SLOTS minhashes. Equal sets
+   are one node; from here on each node stands once.
+2. Multi-index: the key slots are cut into CHUNKS chunks; two signatures that differ in at most
+   MAX_DISTANCE key slots differ in at most ERRORS slots of some chunk (pigeonhole). For each chunk and
    each choice of ERRORS slots that may differ, the remaining slots make a key. All pairs within
-   MAX_DISTANCE are guaranteed to share a key. Sets that share one are candidates unless their
-   signatures differ in more than FAR slots. A pair at a similarity of just 0.8 becomes a candidate
-   with a probability of 1 - 2.8e-5 (no key: 2.3e-5; beyond FAR: 5e-6), above it with more.
-3. Components of candidates are small families. Within a family, full sets are compared exactly.
-   A large family is cut into blocks: each block is compared in itself and with the first block;
-   then all members outside the family's largest confirmed component are compared with all blocks.
-   So no family is expanded into all pairs, and no link between two components is lost.
+   MAX_DISTANCE are guaranteed to share a key. Nodes that share one are candidates unless their
+   signatures' bits differ in more than FAR of SLOTS places. A pair at a similarity of just 0.8 becomes
+   a candidate with a probability of 1 - 2.7e-5 (no key: 2.3e-5; beyond FAR: 4e-6), above it with more;
+   at 0.5, one pair in eighty that share a key passes.
+3. Components of candidates are families. Within a family, full sets are compared exactly. A large
+   family is first pruned: a member of whose shingles too few stand in any other member can't be
+   linked. What is left is cut into blocks: each block is compared in itself and with the first block;
+   then the members outside the family's largest confirmed component, a stated set of queries, are
+   compared with all blocks. So no family is expanded into all pairs, and no link between two
+   components is lost.
 4. Components of confirmed links give the result.
 """
 
@@ -25,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, arrow, saved, slices, table, utf8
+from .common import BROADCAST_IDS, arrow, drop_saved, portions, saved, semi_by_id, slices, table, utf8
 from .components import components
 from .words import LOWER_BYTES, SPACE, hashes, mix, spans
 
-SLOTS, CHUNKS, ERRORS = 40, 8, 1
+KEY_SLOTS, CHUNKS, ERRORS = 40, 8, 1
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Slots in which the signatures of candidates may differ; at a similarity of 0.8, 8 differ on average.
-FAR = 20
+#: Slots of a signature of which BITS bits are kept, in words of 64 bits; places in which those of
+#: candidates may differ (at a similarity of 0.8, 24 differ on average).
+SLOTS, BITS, FAR = 160, 2, 46
+WORDS = SLOTS * BITS // 64
 #: Sets that one block of a large family holds about.
 BLOCK = 96
 
@@ -75,17 +81,30 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minhash of each slot, mixed down to 32 bits."""
     least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        part = shingles[i : i + 1024, None] ^ _XOR
+    for i in range(0, len(shingles), 512):
+        part = shingles[i : i + 512, None] ^ _XOR
         part *= _ODD
         np.minimum(least, part.min(axis=0), out=least)
     return (mix(least) >> np.uint64(32)).astype(np.uint32)
 
 
+def packed(signatures: np.ndarray) -> np.ndarray:
+    """The lowest BITS bits of all slots, as words."""
+    low = (signatures & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(signatures), WORDS, -1)
+    return np.bitwise_or.reduce(low << (np.arange(low.shape[2], dtype=np.uint64) * np.uint64(BITS)), axis=2)
+
+
+def far_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of places in which packed signatures differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x5555555555555555)).sum(axis=-1)
+
+
 def signature_keys(signatures: np.ndarray) -> np.ndarray:
     """All keys of each signature: for each chunk, one for each choice of slots that may differ."""
     wide = signatures.astype(np.uint64)
-    size = SLOTS // CHUNKS
+    size = KEY_SLOTS // CHUNKS
     out = []
     for chunk in range(CHUNKS):
         terms = mix(wide[:, chunk * size : (chunk + 1) * size] + _WEIGHT[:size])
@@ -100,7 +119,7 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def near_groups(small: np.ndarray, most: int = FAR) -> np.ndarray:
-    """Labels of the components of signatures (one byte a slot) within `most` differing slots."""
+    """Labels of the components of packed signatures within `most` differing places."""
     label = np.full(len(small), -1)
     pending = np.arange(len(small))
     while len(pending):
@@ -108,14 +127,13 @@ def near_groups(small: np.ndarray, most: int = FAR) -> np.ndarray:
         label[root] = root
         frontier = [root]
         while frontier and len(pending):
-            block, frontier = frontier[:16], frontier[16:]
-            near = np.zeros(len(pending), bool)
-            for one in block:
-                near |= (small[pending] != small[one]).sum(axis=1) <= most
-            found = pending[near]
-            label[found] = root
-            frontier += found.tolist()
-            pending = pending[~near]
+            one = frontier.pop()
+            near = far_apart(small[pending], small[one]) <= most
+            if near.any():
+                found = pending[near]
+                label[found] = root
+                frontier += found.tolist()
+                pending = pending[~near]
     return label
 
 
@@ -170,11 +188,11 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         lengths = np.diff(bounds)
         if not (lengths > 1).any():
             continue
-        ids, small = batch.column(1).to_numpy(), _fixed(batch.column(2), SLOTS)
+        ids, small = batch.column(1).to_numpy(), np.ascontiguousarray(_fixed(batch.column(2), 8 * WORDS)).view(np.uint64)
         follows = np.ones(len(ids), bool)  # row i and i + 1 are of one run
         follows[bounds[1:] - 1] = False
         at = np.flatnonzero(follows)
-        near = (small[at] != small[at + 1]).sum(axis=1) <= FAR
+        near = far_apart(small[at], small[at + 1]) <= FAR
         a, b = [], []
         two = lengths[np.searchsorted(bounds, at, side="right") - 1] == 2
         a.append(ids[at[two & near] + 1])
@@ -258,30 +276,53 @@ def _counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def _links(docs: DataFrame, candidates: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Exact links within candidate components(id, component), enough of them to connect what is linked."""
+def _possible(sets: DataFrame, percent: int) -> DataFrame:
+    """Members of large families of whose shingles at least percent stand in other members too; all of small ones."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole, 2)):
+            data, offs = utf8(batch.column(2).cast(pa.large_binary()))
+            shingles = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shingles)], ["component", "id", "shingle"])
+
+    large = sets.filter("blocks > 1")
+    each = arrow(large.select("component", "id", "shingles"), single, "component bigint, id bigint, shingle bigint")
+    alone = each.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    lonely = saved(alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    size = F.octet_length("shingles") / 8
+    gone = large.join(_counted(lonely), "id").filter(100 * (size - F.col("alone")) < percent * size).select("id")
+    return semi_by_id(sets, saved(gone), "id", "left_anti")
+
+
+def _links(texts: DataFrame, candidates: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Exact links within candidate components(id, component), enough of them to connect what is linked. texts(id, text)."""
+    spark = texts.sparkSession
     sizes = saved(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"))
     members = saved(candidates.join(_counted(sizes), "component"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 3)):
             sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(3), width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], ["component", "id", "blocks", "shingles"])
 
-    texts = docs.select(F.col("id"), "text").join(_counted(members), "id").select("component", "id", "blocks", "text")
-    sets = saved(arrow(texts, to_sets, "component bigint, id bigint, blocks int, shingles binary"))
+    chosen = texts.join(_counted(members), "id").select("component", "id", "blocks", "text")
+    sets = saved(arrow(chosen, to_sets, "component bigint, id bigint, blocks int, shingles binary"))
+    large = not sizes.filter("blocks > 1").isEmpty()
+    if large:
+        pruned = saved(_possible(sets, percent))
+        drop_saved(spark, sets)
+        sets = pruned
     sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
 
     first = sets.withColumn("at", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     first = first.select("component", "at", "id", F.lit(True).alias("asked"), "shingles").repartition("component", "at").sortWithinPartitions("component", "at", "id")
     edges = saved(arrow(first, _confirmed_edges(percent, 2), "a bigint, b bigint"))
-
-    large = sizes.filter("blocks > 1")
-    if large.isEmpty():
+    if not large:
         return edges
     # members of large families that are outside their family's largest confirmed component
     known = components(edges)
-    placed = members.filter("blocks > 1").join(_counted(known.withColumnRenamed("component", "confirmed")), "id", "left")
+    placed = sets.filter("blocks > 1").select("component", "id").join(_counted(known.withColumnRenamed("component", "confirmed")), "id", "left")
     placed = saved(placed.withColumn("confirmed", F.coalesce("confirmed", "id")))
     main = placed.groupBy("component", "confirmed").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("confirmed", F.struct("n", F.negative("confirmed"))).alias("main"))
     main = saved(main)
@@ -296,60 +337,69 @@ def _links(docs: DataFrame, candidates: DataFrame, width: int, percent: int, blo
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component_id, kept for every row.
+    """key, n_shingles, component_id, kept, text_hash for every row.
 
     Words are runs without white space, A-Z lower-cased; a text's set are its distinct shingles of
     `width` words, or all its words if there are fewer. Texts are linked when 100 * intersection >=
     percent * union. component_id is the least key that links reach; kept says that it is the row's
-    own. A text without words (null, empty) has no shingles and no links. Keys are integers; a
-    repeated key is one document for links, and its rows, if their texts differ, are linked. A row
-    without a key isn't linked: its component_id is null. An empty table gives no rows; other columns
-    don't matter.
+    own. A text without words (null, empty) has no shingles and no links; texts of any length are read
+    whole. Keys are integers; every row is a document of its own, also one of several with one key. A
+    row without a key isn't linked: its component_id is null. text_hash (of the whole text, null
+    without one) tells rows of one key apart. An empty table gives no rows; other columns don't matter.
     """
-    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
 
     def to_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, low, high, sigs = [], [], [], []
-            for shingles in shingle_sets(batch.column(1), width):
+        for batch in (part for whole in batches for part in portions(whole, 2)):
+            n, nodes, sigs = [], [], []
+            for shingles in shingle_sets(batch.column(2), width):
                 n.append(len(shingles))
-                low.append(int(shingles.sum(dtype=np.uint64).view(np.int64)) if len(shingles) else 0)
-                high.append(int(np.bitwise_xor.reduce(mix(shingles + np.uint64(1))).view(np.int64)) if len(shingles) else 0)
-                sigs.append(signature(shingles).tobytes() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sigs, pa.binary())], ["id", "n", "low", "high", "sig"])
+                if not len(shingles):
+                    nodes.append(None)
+                    sigs.append(None)
+                    continue
+                digest = np.array([shingles.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(shingles + np.uint64(1)))], np.uint64)
+                nodes.append(int(mix(digest[:1] + mix(digest[1:] + np.uint64(len(shingles)))).view(np.int64)[0]))
+                sig = signature(shingles)
+                sigs.append(sig[:KEY_SLOTS].tobytes() + packed(sig[None]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["id", "h", "n", "node", "sig"])
 
     def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                sigs = _fixed(batch.column(1), 4 * SLOTS)
-                keys = signature_keys(np.ascontiguousarray(sigs).view(np.uint32))
-                small = np.ascontiguousarray(sigs[:, ::4])  # a byte of each slot
-                times = keys.shape[1]
-                rows = np.repeat(np.arange(batch.num_rows), times)
-                small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS), batch.num_rows, [None, pa.py_buffer(small.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(rows)), small.take(pa.array(rows)).cast(pa.binary())], ["k", "id", "small"])
-
-    signed = saved(arrow(docs, to_signatures, "id bigint, n bigint, low bigint, high bigint, sig binary"))
-    usable = signed.filter("n > 0 AND id IS NOT NULL")
-    sets = saved(usable.groupBy("n", "low", "high").agg(F.min(F.struct("id", "sig")).alias("first")).select("n", "low", "high", F.col("first.id").alias("rep"), F.col("first.sig").alias("sig")))
-    keyed = arrow(sets.select(F.col("rep").alias("id"), "sig"), to_keys, "k bigint, id bigint, small binary")
+                sigs = _fixed(batch.column(1), 4 * KEY_SLOTS + 8 * WORDS)
+                keys = signature_keys(np.ascontiguousarray(sigs[:, : 4 * KEY_SLOTS]).view(np.uint32))
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1]))
+                small = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(sigs[:, 4 * KEY_SLOTS :]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(rows), small.take(rows).cast(pa.binary())], ["k", "id", "small"])
+
+    signed = saved(arrow(docs.select("id", "h", "text"), to_signatures, "id bigint, h bigint, n bigint, node bigint, sig binary"))
+    usable = signed.filter("node IS NOT NULL AND id IS NOT NULL")
+    nodes = saved(usable.groupBy("node").agg(F.min(F.struct("id", "h", "sig")).alias("first")).select("node", F.col("first.id").alias("rep"), F.col("first.h").alias("h"), F.col("first.sig").alias("sig")))
+    keyed = arrow(nodes.select(F.col("node").alias("id"), "sig"), to_keys, "k bigint, id bigint, small binary")
     near = arrow(keyed.repartition("k").sortWithinPartitions("k", "id"), _candidate_edges, "a bigint, b bigint")
     candidates = components(near)
-    distinct = saved(docs.join(_counted(sets.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").dropDuplicates(["id"])) if _repeats(signed) else docs
-    links = _links(distinct, candidates, width, percent, block)
-    # rows of one repeated key with different texts are one document
-    twins = usable.join(sets.drop("sig"), ["n", "low", "high"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if distinct is not docs else None
-    found = components(links if twins is None else links.unionByName(twins))
-    classes = saved(sets.drop("sig").join(_counted(found), F.col("rep") == F.col("id"), "left").select("n", "low", "high", F.coalesce("component", "rep").alias("component")))
-    out = signed.drop("sig").join(classes, ["n", "low", "high"], "left")
+    # a text of each candidate
+    wanted = saved(candidates.select(F.col("id").alias("node")).join(nodes.drop("sig"), "node").select("node", F.col("rep").alias("id"), "h"))
+    texts = docs.join(_counted(wanted), ["id", "h"]).select(F.col("node").alias("id"), "text")
+    if not usable.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
+    found = components(_links(texts, candidates, width, percent, block))
+    joined = nodes.select("node", "rep").join(_counted(found), F.col("node") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "node").alias("class"))
+    least = saved(joined.join(_counted(found.select("component").distinct()), F.col("class") == F.col("component"), "left_semi").groupBy("class").agg(F.min("rep").alias("component")))
+    classes = saved(joined.join(_counted(least), "class", "left").select("node", F.coalesce("component", "rep").alias("component")))
+    out = signed.drop("sig").join(classes, "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), F.col("h").alias("text_hash"))
 
 
-def _repeats(signed: DataFrame) -> bool:
-    return not signed.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that near_components() keeps, with their columns; rows without a key or words all stay."""
+    gone = saved(near_components(docs, text, key, **options).filter(F.col(key).isNotNull() & ~F.col("kept")).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")))
+    rows = docs.withColumn("__key", F.col(key).cast("bigint")).withColumn("__hash", F.xxhash64(text))
+    return semi_by_id(rows, gone, ["__key", "__hash"], "left_anti").select(docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"), width=4)
+    return near_components(table(spark, sf_dir, "documents"), width=4).drop("text_hash")
