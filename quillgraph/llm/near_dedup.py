@@ -279,16 +279,18 @@ def _counted(df: DataFrame) -> DataFrame:
 def _possible(sets: DataFrame, percent: int) -> DataFrame:
     """Members of large families of whose shingles at least percent stand in other members too; all of small ones."""
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in portions(whole, 2)):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each family's shingles in some thousand members: how many have it, and one of them."""
+        for batch in (part for whole in batches for part in portions(whole, 2, 4096, 16 << 20)):
             data, offs = utf8(batch.column(2).cast(pa.large_binary()))
-            shingles = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shingles)], ["component", "id", "shingle"])
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offs) // 8)
+            each = pa.table({"shingle": np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64), "component": batch.column(0).take(pa.array(rows)), "id": batch.column(1).take(pa.array(rows))})
+            found = each.group_by(["component", "shingle"]).aggregate([("id", "count"), ("id", "min")])
+            yield from found.rename_columns(["component", "shingle", "n", "id"]).to_batches()
 
     large = sets.filter("blocks > 1")
-    each = arrow(large.select("component", "id", "shingles"), single, "component bigint, id bigint, shingle bigint")
-    alone = each.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    each = arrow(large.select("component", "id", "shingles"), counted, "component bigint, shingle bigint, n bigint, id bigint")
+    alone = each.groupBy("component", "shingle").agg(F.sum("n").alias("n"), F.min("id").alias("id")).filter("n = 1")
     lonely = saved(alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
     size = F.octet_length("shingles") / 8
     gone = large.join(_counted(lonely), "id").filter(100 * (size - F.col("alone")) < percent * size).select("id")
