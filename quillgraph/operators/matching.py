@@ -8,23 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 ACCEPT = 0.45
+#: Typed lines that are compared with all titles at once.
+BLOCK = 10_000
 
 
 def resolve_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, doc_id, rule, score) of queries(query_id, query) against titles(ord, doc_id, title).
 
-    The first title (by ord) that contains the query or is contained in it wins; else the title with
-    most of the query's tokens, the first of equals, from ACCEPT on; else the only title there is.
-    queries is a small set of typed lines: it is broadcast against all titles, and only the best
-    title of each task is kept before anything is shuffled.
+    A query that is a doc_id finds it (rule 0). Else the first title (by ord) that contains the query
+    or is contained in it wins (1); else the title with most of the query's tokens, the first of equals,
+    from ACCEPT on (2); else the only title there is (3). Containment is told by no key, so that the
+    stated queries go over all titles in counted blocks that are broadcast; only the best title of each
+    task is kept before anything is shuffled.
     """
     n = titles.agg(F.count(F.lit(1)).alias("n"))  # one row
+    blocks = -(-queries.count() // BLOCK) or 1
+    best = None
+    for block in range(blocks):
+        q = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        found = _best(q, titles)
+        best = found if best is None else best.unionByName(found)
+    out = best.crossJoin(F.broadcast(n)).filter((F.col("b.rule") < 3) | (F.col("n") == 1))
+    return out.select("query_id", F.col("b.doc_id").alias("doc_id"), F.col("b.rule").alias("rule"), (-F.col("b.minus")).alias("score"))
+
+
+def _best(queries: DataFrame, titles: DataFrame) -> DataFrame:
     q = queries.withColumn("ql", X.collapse_ws(F.lower(F.coalesce("query", F.lit("")))))
     rows = titles.withColumn("tl", F.lower(F.coalesce("title", F.lit("")))).join(F.broadcast(q))
+    same = F.coalesce(F.col("doc_id").cast("string") == F.col("query"), F.lit(False))
     hit = (F.col("ql") != "") & X.contains_either(F.col("tl"), F.col("ql"))
     score = F.coalesce(X.token_overlap(F.col("query"), F.col("title")), F.lit(0.0))
-    rule = F.when(hit, 1).when(score >= ACCEPT, 2).otherwise(3)
-    ranked = rows.select("query_id", "doc_id", rule.alias("rule"), F.when(hit, 1.0).otherwise(score).alias("score"), "ord")
-    best = ranked.groupBy("query_id").agg(F.min(F.struct("rule", (-F.col("score")).alias("minus"), "ord", "doc_id")).alias("b"))
-    out = best.crossJoin(F.broadcast(n)).filter((F.col("b.rule") < 3) | (F.col("n") == 1))
-    return out.select("query_id", F.col("b.doc_id").alias("doc_id"), F.col("b.rule").alias("rule"), (-F.col("b.minus")).alias("score"))
+    rule = F.when(same, 0).when(hit, 1).when(score >= ACCEPT, 2).otherwise(3)
+    ranked = rows.select("query_id", "doc_id", rule.alias("rule"), F.when(same | hit, 1.0).otherwise(score).alias("score"), "ord")
+    return ranked.groupBy("query_id").agg(F.min(F.struct("rule", (-F.col("score")).alias("minus"), "ord", "doc_id")).alias("b"))

@@ -7,22 +7,40 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Rounds after which what has found no root stands on a cycle (depths up to 2^ROUNDS).
-ROUNDS = 40
+
+def _climb(start: DataFrame, paths: list[str], on_cycle: str) -> DataFrame:
+    """start(id, up, ...) with the arrays `paths` (the first holds ids) lengthened upwards until up is null.
+
+    A row takes over the arrays of the row it points at, so that each round doubles its reach; what has
+    arrived isn't joined again. A row that meets an id of its own stands on a cycle, or leads into one:
+    with on_cycle="keep" it is complete with the ids so far, with "drop" it goes, and what points at it too.
+    """
+    now = written(start)
+    while not now.filter("up IS NOT NULL").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in paths))
+        joined = now.filter("up IS NOT NULL").join(above, "up")
+        meets = F.arrays_overlap(paths[0], f"__{paths[0]}")
+        if on_cycle == "drop":
+            joined = joined.filter(~meets)
+            grown = {p: F.concat(p, f"__{p}") for p in paths}
+        else:
+            grown = {p: F.when(meets, F.array_distinct(F.concat(p, f"__{p}"))).otherwise(F.concat(p, f"__{p}")) for p in paths}
+        jumped = joined.select(*(grown[c].alias(c) if c in grown else F.when(~meets, F.col("__next")).alias("up") if c == "up" else F.col(c) for c in now.columns))
+        now = written(now.filter("up IS NULL").unionByName(jumped))
+    return now
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, path) of nodes(id, parent): each node's id and those of its ancestors, nearest first; cycles end where they close."""
+    live = nodes.select("id", "parent").distinct()
+    has = live.select(F.col("id").alias("parent")).distinct().withColumn("has", F.lit(True))
+    start = live.join(has, "parent", "left").select("id", F.when(F.col("has") & (F.col("parent") != F.col("id")), F.col("parent")).alias("up"), F.array("id").alias("path"))
+    return _climb(start, ["path"], "keep").select("id", "path")
 
 
 def closure(nodes: DataFrame) -> DataFrame:
     """Distinct (ancestor, id) of nodes(id, parent), each node with itself; cycles are safe."""
-    live = nodes.select("id", "parent")
-    steps = live.join(live.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("ancestor"), "id")
-    now = written(steps.unionByName(live.select(F.col("id").alias("ancestor"), "id")).distinct())
-    size = now.count()
-    while True:
-        further = now.alias("x").join(now.alias("y"), F.col("x.id") == F.col("y.ancestor")).select(F.col("x.ancestor"), F.col("y.id")).distinct()
-        now = written(further)
-        if (n := now.count()) == size:
-            return now
-        size = n
+    return ancestors(nodes).select(F.explode("path").alias("ancestor"), "id")
 
 
 def descendants(nodes: DataFrame, start: DataFrame, recursive: bool = True) -> DataFrame:
@@ -37,50 +55,25 @@ def descendants(nodes: DataFrame, start: DataFrame, recursive: bool = True) -> D
 def forest(nodes: DataFrame) -> DataFrame:
     """(id, parent, name, depth, path, sort_path) of nodes(id, parent, name) that reach a root.
 
-    A node whose parent is missing is a root; nodes that only lead into a cycle are left out. path
-    joins names by " / ", starting with the first that isn't empty; sort_path orders siblings by
-    lower-cased name and id.
+    A node whose parent is missing is a root; nodes that stand on a cycle or only lead into one are left
+    out. path joins names by " / ", starting with the first that isn't empty; sort_path orders siblings
+    by lower-cased name and id.
     """
     parents = nodes.select(F.col("id").alias("parent")).distinct()
     live = nodes.join(parents.withColumn("has", F.lit(True)), "parent", "left")
     name = F.coalesce("name", F.lit(""))
-    now = written(
-        live.select(
-            "id",
-            F.when(F.col("has"), F.col("parent")).alias("up"),
-            F.when(F.col("has"), F.col("parent")).alias("parent"),
-            "name",
-            F.array(name).alias("names"),
-            F.array(F.struct(F.lower(name).alias("name"), F.col("id").alias("id"))).alias("sort_path"),
-        )
-    )
-    for _ in range(ROUNDS):
-        if now.filter("up IS NOT NULL").isEmpty():
-            break
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("names").alias("before"), F.col("sort_path").alias("sort_before"))
-        # a pair on a cycle points at itself sooner or later; it is dropped at the end
-        jumped = written(
-            now.filter("up IS NOT NULL AND size(names) < 100000").join(above, "up").select("id", F.col("next").alias("up"), "parent", "name", F.concat("before", "names").alias("names"), F.concat("sort_before", "sort_path").alias("sort_path"))
-        )
-        rooted = now.filter("up IS NULL")
-        following = written(rooted.unionByName(jumped))
-        if jumped.filter("up IS NULL").isEmpty() and _stuck(jumped):
-            now = following
-            break
-        now = following
-    path = F.aggregate("names", F.lit(""), lambda acc, n: F.when(acc == "", n).otherwise(F.concat(acc, F.lit(" / "), n)))
-    return now.filter("up IS NULL").select("id", "parent", "name", (F.size("names") - 1).alias("depth"), path.alias("path"), "sort_path")
-
-
-def _stuck(jumped: DataFrame) -> bool:
-    """Whether none of the waiting nodes can reach a root: all their targets wait too, and paths repeat ids."""
-    repeats = F.size(F.array_distinct("sort_path.id")) < F.size("sort_path")
-    return jumped.filter(~repeats).isEmpty()
+    up = F.when(F.col("has"), F.col("parent"))
+    own = F.struct(F.lower(name).alias("name"), F.col("id").alias("id"))
+    start = live.filter(~F.coalesce(up == F.col("id"), F.lit(False))).select("id", up.alias("up"), up.alias("parent"), "name", F.array("id").alias("ids"), F.array(name).alias("names"), F.array(own).alias("keys"))
+    found = _climb(start, ["ids", "names", "keys"], "drop")
+    path = F.aggregate(F.reverse("names"), F.lit(""), lambda acc, n: F.when(acc == "", n).otherwise(F.concat(acc, F.lit(" / "), n)))
+    return found.select("id", "parent", "name", (F.size("names") - 1).alias("depth"), path.alias("path"), F.reverse("keys").alias("sort_path"))
 
 
 def subtree_item_counts(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """(id, item_count): distinct items of each collection's subtree, 0 without any. membership(id, item_key)."""
-    inside = closure(nodes).join(membership, "id").groupBy(F.col("ancestor").alias("id")).agg(F.count_distinct("item_key").alias("item_count"))
+    placed = membership.distinct().join(ancestors(nodes), "id").select("item_key", F.explode("path").alias("id"))
+    inside = placed.groupBy("id").agg(F.count_distinct("item_key").alias("item_count"))
     return nodes.select("id").distinct().join(inside, "id", "left").select("id", F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"))
 
 

@@ -15,20 +15,24 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session names it; a temporary folder only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
+    """spark.checkpoint.dir as the session names it; a temporary folder only in local mode where none is named (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage is cut and nothing is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/quillgraph-table-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: lineage is cut and nothing is computed twice. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillgraph-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def few(df: DataFrame) -> DataFrame:
