@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +31,21 @@ def as_entry(raw: Column) -> Column:
 
 
 def citation_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON cache {item_key: record}; a file that can't be parsed gives none."""
+    """Records of a JSON cache {item_key: record}; a file that can't be parsed gives none.
+
+    Such a file is one value and so one row of one task; caches of any size are read by citation_lines().
+    """
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{RECORD}>").alias("m"))
-    rows = whole.select(F.explode("m").alias("item_key", "r"))
+    return _records(whole.select(F.explode("m").alias("item_key", "r")))
+
+
+def citation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a cache with one {"item_key": ..., record} a line, read in as many tasks as the files give; bad lines are left out."""
+    lines = spark.read.text(path).select(F.from_json("value", f"struct<item_key:string,{RECORD[7:-1]}>").alias("r"))
+    return _records(lines.filter("r.item_key IS NOT NULL").select(F.col("r.item_key").alias("item_key"), "r"))
+
+
+def _records(rows: DataFrame) -> DataFrame:
     return rows.select(
         "item_key",
         F.col("r.doi").alias("doi"),
@@ -53,8 +67,70 @@ def job_log(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("job_id"), F.col("docId").alias("doc_id"), "*", F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_path").alias("path")).drop("id", "docId")
 
 
-def upsert_version(current: DataFrame, changes: DataFrame, key: str, path: str) -> DataFrame:
-    """Writes a new version: changes replace rows of the same key. Readers of the old version aren't disturbed."""
+class StaleWriter(RuntimeError):
+    """Another version was committed, or the store was reset, since this writer read it."""
+
+
+def _versions(spark: SparkSession, root: str):
+    """The file system, the folder, and the numbers of complete versions."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, folder, sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version, -1 without any."""
+    return max(_versions(spark, root)[2], default=-1)
+
+
+def read_version(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """A version, by default the newest. Readers of older ones aren't disturbed by later writes."""
+    return spark.read.parquet(f"{root}/v={latest_version(spark, root) if number is None else number}")
+
+
+def commit_version(rows: DataFrame, root: str, expected: int) -> int:
+    """Writes rows as the version after `expected`; raises StaleWriter if that isn't the newest any more.
+
+    Rows are written aside and renamed, so that a version is there as a whole or not at all, and of two
+    writers with one expectation only one gets through.
+    """
+    spark = rows.sparkSession
+    aside = f"{root}/.tmp-{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    fs, folder, known = _versions(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if max(known, default=-1) != expected or not fs.rename(path(aside), path(f"{root}/v={expected + 1}")):
+        fs.delete(path(aside), True)
+        raise StaleWriter(f"{root} is at version {max(known, default=-1)}, not {expected}")
+    return expected + 1
+
+
+def reset_versions(spark: SparkSession, root: str, empty: DataFrame) -> int:
+    """Replaces what is there by an empty version; writers that read an older one are stale. Older versions go."""
+    fs, folder, known = _versions(spark, root)
+    number = commit_version(empty, root, max(known, default=-1))
+    for old in known:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={old}"), True)
+    return number
+
+
+def upsert_version(root: str, changes: DataFrame, key: str, expected: int) -> int:
+    """A new version in which changes replace rows of the same key. expected: the version that the changes were made for."""
+    spark = changes.sparkSession
+    if latest_version(spark, root) != expected:
+        raise StaleWriter(f"{root} isn't at version {expected}")
+    current = read_version(spark, root, expected)
     kept = current.join(changes.select(key).distinct(), key, "left_anti")
-    kept.unionByName(changes, allowMissingColumns=True).write.mode("errorifexists").parquet(path)
-    return current.sparkSession.read.parquet(path)
+    return commit_version(kept.unionByName(changes, allowMissingColumns=True), root, expected)
+
+
+def is_fresh(spark: SparkSession, root: str, live: str) -> bool:
+    """Whether the newest version is at least as new as the live file; without a live file, whether there is a version."""
+    fs, folder, known = _versions(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(live)
+    if not known:
+        return False
+    live_fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={known[-1]}")
+    return not live_fs.exists(path) or fs.getFileStatus(newest).getModificationTime() >= live_fs.getFileStatus(path).getModificationTime()

@@ -1,7 +1,9 @@
 """Hand-written cases of the rules."""
 
+import datetime
 import hashlib
 import json
+import os
 import re
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import layout as L
 from quillgraph.functions import text as X
-from quillgraph.operators import citations, components, jobs, library, matching, narration, timeline, tree
+from quillgraph.operators import citations, components, jobs, library, matching, narration, state, timeline, tree
 from quillgraph.plans import queries
 from quillgraph.sources import tables
 from quillgraph.streaming import records
@@ -247,11 +249,13 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "item_key string, status string, fetchedAt double"
     rows = [[("a", "no_doi", 1.0), ("b", "mapped", 1.0)], [("a", "mapped", 2.0)], [("c", "mapped", 1.0), ("b", "not_found", 0.5)]]
     source = tmp_path / "in"
+    seen = []
     for i, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        records.follow(spark, str(source), schema, str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
-    last = spark.read.schema(schema).parquet(str(tmp_path / f"state/v={len(rows) - 1}"))
+        records.follow(spark, str(source), schema, str(tmp_path / "state"), str(tmp_path / "check"), lambda known, batch: seen.append((batch, known.count()))).awaitTermination()
+    last = records.current(spark, schema, str(tmp_path / "state"))
     batch = records.newest(spark.read.schema(schema).parquet(str(source)))
+    assert seen == [(0, 2), (1, 2), (2, 3)]
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in batch.collect()} == {("a", "mapped", 2.0), ("b", "mapped", 1.0), ("c", "mapped", 1.0)}
 
 
@@ -263,3 +267,70 @@ def test_reading_order(spark):
     ordered = narration.reading_order(blocks)
     assert [r["text"] for r in ordered.orderBy("page", "pos").collect()] == ["title", "left low", "right", "next"]
     assert narration.document_texts(ordered).first()["text"] == "title\nleft low\nright\nnext"
+
+
+def test_versions(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = lambda *r: spark.createDataFrame(list(r), "item_key string, status string")
+    assert tables.latest_version(spark, root) == -1 and not tables.is_fresh(spark, root, str(tmp_path / "live"))
+    assert tables.commit_version(rows(("a", "x"), ("b", "x")), root, -1) == 0
+    assert tables.upsert_version(root, rows(("a", "y"), ("c", "y")), "item_key", 0) == 1
+    assert {tuple(r) for r in tables.read_version(spark, root).collect()} == {("a", "y"), ("b", "x"), ("c", "y")}
+    for late in (lambda: tables.upsert_version(root, rows(("b", "late")), "item_key", 0), lambda: tables.commit_version(rows(("z", "z")), root, 0)):
+        with pytest.raises(tables.StaleWriter):
+            late()
+    assert tables.read_version(spark, root, 0).count() == 2 and tables.is_fresh(spark, root, str(tmp_path / "live"))
+    (tmp_path / "live").write_text("newer")
+    os.utime(tmp_path / "live", (4e9, 4e9))
+    assert not tables.is_fresh(spark, root, str(tmp_path / "live"))
+    assert tables.reset_versions(spark, root, rows(("q", "q")).limit(0)) == 2 and tables.read_version(spark, root).count() == 0
+    with pytest.raises(tables.StaleWriter):
+        tables.upsert_version(root, rows(("b", "late")), "item_key", 1)
+
+
+def test_cache_lines(spark, tmp_path):
+    lines = [{"item_key": "A", "status": "mapped", "v": 2, "references": ["W1", {"id": "W2", "title": "Two"}]}, {"status": "no key"}]
+    (tmp_path / "cache.jsonl").write_text("\n".join([*map(json.dumps, lines), "{broken"]))
+    found = tables.citation_lines(spark, str(tmp_path / "cache.jsonl")).collect()
+    assert [(r["item_key"], [(e["id"], e["title"]) for e in r["references"]]) for r in found] == [("A", [("W1", None), ("W2", "Two")])]
+
+
+def test_writes_and_resets(spark):
+    writes = spark.createDataFrame([("s", 1, 1, 5), ("s", 2, 1, 3), ("s", 3, 4, 9), ("t", 4, 1, 9), ("s", 5, 4, 4)], "store string, write_id int, claimed_at int, committed_at int")
+    resets = spark.createDataFrame([("s", 4)], "store string, at int")
+    found = {r["write_id"]: (r["generation"], r["accepted"]) for r in state.accepted_writes(writes, resets).collect()}
+    assert found == {1: (0, False), 2: (0, True), 3: (1, True), 4: (0, True), 5: (1, True)}
+
+
+def test_job_states(spark):
+    log = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (1, "done", 3), (1, "error", 4), (1, "running", 5), (2, "queued", 1), (3, "running", 2), (3, "queued", 3)], "job_id int, status string, at int")
+    folded = state.fold_log(log)
+    assert {r["job_id"]: (r["status"], r["since"], r["entries"]) for r in folded.collect()} == {1: ("done", 3, 5), 2: ("queued", 1, 1), 3: ("running", 2, 2)}
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "job_id int")
+    assert {r["job_id"]: r["status"] for r in state.cancelled(folded, asked).collect()} == {1: "done", 3: "error"}
+    assert {r["job_id"] for r in state.cleared(log).collect()} == {2, 3}
+    files = spark.createDataFrame([("b--1.mp3",), ("a--b--1.mp3",), ("2.mp3",), ("3.wav",), ("x--2.mp3",)], "name string")
+    assert {r["job_id"]: r["file"] for r in state.audio_files(folded, files).collect()} == {1: "a--b--1.mp3", 2: "x--2.mp3", 3: None}
+
+
+def test_deep_and_cyclic_trees(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(40)] + [(100 + i, 100 + (i + 1) % 7, "c") for i in range(7)] + [(200, 103, "tail"), (300, 300, "self")]
+    nodes = spark.createDataFrame(chain, "id bigint, parent bigint, name string")
+    assert {r["id"]: r["depth"] for r in tree.forest(nodes).collect()} == {i: i for i in range(40)}
+    up = {r["id"]: list(r["path"]) for r in tree.ancestors(nodes).collect()}
+    assert up[39] == list(range(39, -1, -1)) and sorted(up[200]) == [*range(100, 107), 200] and up[300] == [300] and sorted(up[100]) == list(range(100, 107))
+
+
+def test_exact_ids_come_first(spark):
+    titles = spark.createDataFrame([(0, "a", "b"), (1, "b", "other")], "ord int, doc_id string, title string")
+    found = matching.resolve_titles(spark.createDataFrame([(1, "b")], "query_id int, query string"), titles).first()
+    assert (found["doc_id"], found["rule"]) == ("b", 0)
+
+
+def test_streamed_jobs(spark, tmp_path):
+    schema = "doc_id int, job_id int, status string, ts timestamp"
+    rows = [(1, 1, "done", 1), (1, 2, "error", 3), (2, 3, "done", 2), (1, 4, "done", 2)]
+    spark.createDataFrame([(d, j, s, datetime.datetime(2024, 1, 1, t)) for d, j, s, t in rows], schema).write.parquet(str(tmp_path / "in"))
+    stream = records.latest_jobs(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("latest_jobs").outputMode("update").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert {r["doc_id"]: r["j"]["job_id"] for r in spark.table("latest_jobs").collect()} == {1: 2, 2: 3}
