@@ -59,3 +59,35 @@ def link_distance(radius_a: Column, radius_b: Column, degree: Column) -> Column:
 
 def component_radius(squares: Column, members: Column) -> Column:
     return F.greatest(F.lit(28.0), F.sqrt(squares) * 1.12, F.sqrt(members) * 8)
+
+
+def plain_or_scaled(scaling: Column, size: Column) -> Column:
+    """The scaled size, or one size for all where scaling is off."""
+    return F.when(scaling, size).otherwise(F.lit(PLAIN_SIZE))
+
+
+def cluster_colour(cluster: Column, colours: int = 15) -> Column:
+    """Index of a cluster's colour; null without a cluster (the colour of external nodes)."""
+    return F.pmod(cluster, F.lit(colours))
+
+
+def to_pixels(low: Column, high: Column, scale: Column) -> Column:
+    """Start and extent of a box's side on the screen."""
+    return F.struct((low * scale).alias("start"), ((high - low) * scale).alias("extent"))
+
+
+#: The greatest zoom by the number of placed nodes (up to, zoom), and beyond; the margin's
+#: least size and its share of the view's shorter side, for up to FEW_NODES nodes and for more.
+MOST_ZOOM, ZOOM_BEYOND = ((1, 5.2), (2, 4.2), (4, 3.35), (12, 2.65)), 2.1
+FEW_NODES, FEW_MARGIN, MARGIN = 4, (28.0, 0.08), (52.0, 0.07)
+
+
+def fit_zoom(n: Column, width: Column, height: Column, view_width: Column, view_height: Column) -> Column:
+    """The zoom at which the box of n placed nodes fits a view: the least of three limits."""
+    short = F.least(view_width, view_height)
+    margin = F.when(n <= FEW_NODES, F.greatest(F.lit(FEW_MARGIN[0]), short * FEW_MARGIN[1])).otherwise(F.greatest(F.lit(MARGIN[0]), short * MARGIN[1]))
+    most = F.lit(ZOOM_BEYOND)
+    for upto, zoom in reversed(MOST_ZOOM):
+        most = F.when(n <= upto, zoom).otherwise(most)
+    side = lambda view, box: F.greatest(F.lit(1.0), view - 2 * margin) / F.greatest(F.lit(1.0), box)
+    return F.least(most, side(view_width, width), side(view_height, height))

@@ -179,3 +179,56 @@ def selections_meet(a: DataFrame, b: DataFrame) -> DataFrame:
 def layer_complete(cover: DataFrame) -> DataFrame:
     """One row: whether nothing of the selection is unmapped."""
     return cover.agg((F.count_if("unmapped") == 0).alias("complete"), F.count_if("unmapped").alias("unmapped"))
+
+
+def mapped_keys(records: DataFrame) -> DataFrame:
+    return records.filter(is_mapped()).select("item_key")
+
+
+def first_seen(refs: DataFrame) -> DataFrame:
+    """(item_key, id, ref_pos): each list's ids where they are met first; blank ids are left out."""
+    return refs.filter(X.blank_to_null(F.col("id")).isNotNull()).groupBy("item_key", "id").agg(F.min("ref_pos").alias("ref_pos"))
+
+
+def lookup_batches(refs: DataFrame, size: int = 50) -> DataFrame:
+    """(item_key, id, batch): each list's ids without repeats, in order, in batches of `size`."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("item_key").orderBy("ref_pos")) - 1
+    return first_seen(refs).select("item_key", "id", F.floor(place / size).cast("int").alias("batch"))
+
+
+def resolved_lists(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """(item_key, references): every list again, in its order, with what works(id, title) knows; unknown ids stay with nulls."""
+    rows = resolve(refs, works)
+    ordered = F.sort_array(F.collect_list(F.struct("ref_pos", "id", "title")))
+    return rows.groupBy("item_key").agg(F.transform(ordered, lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"))).alias("references"))
+
+
+def output_order(selection: DataFrame, records: DataFrame, refs: DataFrame) -> DataFrame:
+    """(id, ord): owned nodes in the order of the selection, then external ones in the order they are first met."""
+    from .timeline import lane_indexes
+
+    owned = selection.join(mapped_keys(records), "item_key").select(F.col("item_key").alias("id"), F.lit("owned").alias("type"), "sel_pos", F.lit(0).alias("ref_pos"))
+    met = refs.join(selection.select("item_key", "sel_pos"), "item_key").groupBy("id").agg(F.min(F.struct("sel_pos", "ref_pos")).alias("first"))
+    external = met.select("id", F.lit("external").alias("type"), "first.sel_pos", "first.ref_pos")
+    n = owned.agg(F.count(F.lit(1)).alias("n"))  # one row
+    ranked = lane_indexes(owned.unionByName(external), ["sel_pos", "ref_pos", "id"])
+    return ranked.crossJoin(F.broadcast(n)).select("id", (F.col("index") + F.when(F.col("type") == "owned", 0).otherwise(F.col("n"))).alias("ord"))
+
+
+def uncovered_within(cover: DataFrame, selection: DataFrame) -> DataFrame:
+    """What of a smaller selection is unmapped, and what has no DOI."""
+    return cover.filter("unmapped").join(selection.select("item_key").distinct(), "item_key", "left_semi").select("item_key", "no_doi")
+
+
+def overlay(edges: DataFrame, lens: str) -> DataFrame:
+    """Edges as the map shows them: direct, external, tagged by the lens ("cite": references, else cited)."""
+    return edges.select("source", "target", F.lit(True).alias("direct"), F.lit(True).alias("external"), F.lit("references" if lens == "cite" else "cited").alias("overlay"))
+
+
+def toggled(selection: DataFrame, toggles: DataFrame) -> DataFrame:
+    """(item_key) after toggles(item_key): selected ones that are toggled go, others come; twice is as never."""
+    odd = toggles.groupBy("item_key").agg((F.count(F.lit(1)) % 2).alias("odd")).filter("odd = 1").select("item_key")
+    own = selection.select("item_key").distinct()
+    return own.join(odd, "item_key", "left_anti").unionByName(odd.join(own, "item_key", "left_anti"))

@@ -79,3 +79,8 @@ def window_rank(jobs: DataFrame) -> DataFrame:
     """Rank of each finished job within its document, newest first."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("mtime"), "job_id")
     return jobs.filter(F.col("status").isin(*TERMINAL)).withColumn("rank", F.row_number().over(order))
+
+
+def by_family(jobs: DataFrame) -> DataFrame:
+    """(family, status, jobs): one log for all families of jobs."""
+    return jobs.groupBy("family", "status").agg(F.count(F.lit(1)).alias("jobs"))

@@ -43,9 +43,20 @@ def papers(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_key").alias("doc_id"), X.first_present(F.col("title"), F.col("item_key")).alias("title"))
 
 
+def listing_order() -> list:
+    """Items by year (as text, none first) and lower-cased title; ties by key."""
+    return [F.coalesce("year", F.lit("")), F.lower(F.coalesce("title", F.lit(""))), F.col("item_key")]
+
+
 def listing(items: DataFrame) -> DataFrame:
-    """Items by year (as text, none first) and lower-cased title."""
-    return items.orderBy(F.coalesce("year", F.lit("")), F.lower(F.coalesce("title", F.lit(""))), "item_key")
+    return items.orderBy(*listing_order())
+
+
+def source_state(snapshot: DataFrame, live: DataFrame) -> DataFrame:
+    """One row: whether there is a library at all (a snapshot or the live one), and whether the live one is there."""
+    some = lambda df, name: df.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+    both = some(snapshot, "snapshot").crossJoin(F.broadcast(some(live, "live")))
+    return both.select((F.col("snapshot") | F.col("live")).alias("present"), "live")
 
 
 def authors(item_creators: DataFrame, creators: DataFrame) -> DataFrame:

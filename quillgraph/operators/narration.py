@@ -106,3 +106,10 @@ def speech(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def minutes(parts: DataFrame, key: str = "job_id") -> DataFrame:
     """(key, duration_min) of parts(key, ms)."""
     return parts.groupBy(key).agg(F.round(F.sum("ms") / 60000, 2).alias("duration_min"))
+
+
+def byte_shares(files: DataFrame) -> DataFrame:
+    """(kind, bytes, percent) of files(kind, bytes): totals and their share of all bytes."""
+    sums = files.groupBy("kind").agg(F.sum("bytes").alias("bytes"))
+    total = sums.agg(F.sum("bytes").alias("total"))  # one row
+    return sums.crossJoin(F.broadcast(total)).select("kind", "bytes", (100.0 * F.col("bytes") / F.col("total")).alias("percent"))

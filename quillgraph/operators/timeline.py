@@ -103,6 +103,12 @@ def extremes(points: DataFrame) -> DataFrame:
     return points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
+def cluster_labels(members: DataFrame) -> DataFrame:
+    """(cluster, label, points) of members(cluster, pos, label): the first label that isn't empty, by position."""
+    named = F.when(F.col("label") != "", F.struct("pos", "label"))
+    return members.groupBy("cluster").agg(F.min(named)["label"].alias("label"), F.count(F.lit(1)).alias("points"))
+
+
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Monotone chain without collinear points; fewer than three points as they are."""
     points = sorted(set(points))

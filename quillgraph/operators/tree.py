@@ -43,6 +43,11 @@ def closure(nodes: DataFrame) -> DataFrame:
     return ancestors(nodes).select(F.explode("path").alias("ancestor"), "id")
 
 
+def ids_of_keys(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(id) of the nodes(id, key) with these keys."""
+    return nodes.filter(F.col("key").isin(keys)).select("id")
+
+
 def descendants(nodes: DataFrame, start: DataFrame, recursive: bool = True) -> DataFrame:
     """Distinct (start, id): each start with its descendants, or alone; a start is there even if it isn't a node."""
     own = start.select(F.col("id").alias("start"), "id").distinct()

@@ -1 +1,4 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""The library's queries over the driver's tables."""
+
+from . import catalogue, queries  # noqa: F401
+from .queries import QUERIES, SQL  # noqa: F401
