@@ -2,7 +2,8 @@
 
 import pandas as pd
 
-LONG = "word " * 40_000 + "end"
+#: Above the size at which texts are cut into slices.
+LONG = "word " * 260_000 + "end"
 
 
 def awkward_pandas(empty: bool = False) -> dict[str, pd.DataFrame]:
@@ -24,7 +25,7 @@ def awkward_pandas(empty: bool = False) -> dict[str, pd.DataFrame]:
         {
             "page_id": pd.array([0, 1, 2, 3, 4, 5, None, 0], "Int64"),
             "url": [None, "no scheme", "http://A.Example.org/es/x?y#z", "https://example.org", "x://u@h.com:80/de/1#?", "http://b.example.org/en/12", "://", None],
-            "html": [None, "", "<article><p>a &amp; b<p>c</article><footer>f", "plain", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p>" + "long " * 50_000, "<script>x", None],
+            "html": [None, "", "<article><p>a &amp; b<p>c</article><footer>f", "plain", "<div>" * 3000 + "deep" + "</div>" * 3000, "<p>" + "long " * 250_000, "<script>x", None],
             "host": ["clash"] * 8,
             "text": ["clash"] * 8,
             "wrapper": ["clash"] * 8,

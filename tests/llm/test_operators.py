@@ -1,18 +1,21 @@
 """Operators against plain versions of themselves."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import DATA
+from pyspark.sql import functions as F
 
-from quillgraph.llm import common, exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter
+from quillgraph.llm import common, exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter, words
 
 LOWER = str.maketrans(common.UPPER, common.LOWER)
 
@@ -52,6 +55,20 @@ def test_token_counts_of_cut_texts(monkeypatch, documents):
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
+def test_long_words_and_texts(monkeypatch):
+    monkeypatch.setattr(common.slices, "__defaults__", (50,))
+    for module in (token_counts, words):
+        monkeypatch.setattr(module, "SLICE_BYTES", 50)
+    texts = ["x" * 400, "y" * 333 + " tail", "head " + "é" * 200 + "\nend", " " + "z" * 150, "ab " * 100]
+    found = token_counts.Batch(token_counts.vocabulary_path())(pa.array(texts))[0].tolist()
+    plain = unigram()
+    assert found == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    data = np.frombuffer(("w" * 300).encode(), np.uint8)
+    one = words.hashes(data, np.array([7]), np.array([300]))
+    monkeypatch.setattr(words, "SLICE_BYTES", 1 << 20)
+    assert one.tolist() == words.hashes(data, np.array([7]), np.array([300])).tolist()
+
+
 # 2
 
 
@@ -62,25 +79,62 @@ def test_peeling_recovers_all_differences():
         both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(3))
         pairs.append((np.concatenate([both, a]), np.concatenate([both, b[: n // 2]])))
         pairs.append((both, both))
-    for (a, b), (only_a, only_b) in zip(pairs, fingerprints.differences(pairs), strict=True):
+    for (a, b), (only_a, only_b, _) in zip(pairs, fingerprints.differences(pairs), strict=True):
         assert sorted(only_a.tolist()) == sorted(set(a.tolist()) - set(b.tolist()))
         assert sorted(only_b.tolist()) == sorted(set(b.tolist()) - set(a.tolist()))
 
 
-def test_fingerprints(spark, documents):
-    found = fingerprints.op2_fingerprints(spark, DATA).toPandas().set_index("doc_id")
-    rows = documents.sort_values("doc_id")
-    texts, ids = rows["text"].tolist(), rows["doc_id"].tolist()
+def plain_paragraphs(text: str) -> Counter:
+    """Lines, cut at sentence ends and then every six words; words as their UTF-8 bytes."""
+    out = Counter()
+    for line in text.split("\n"):
+        run = []
+        for word in re.findall(r"[^\x20\x09-\x0D]+", line):
+            run.append(word)
+            if word[-1] in ".!?" or len(run) == fingerprints.PARAGRAPH_WORDS:
+                out[tuple(run)] += 1
+                run = []
+        if run:
+            out[tuple(run)] += 1
+    return out
+
+
+def check_fingerprints(found: pd.DataFrame, rows: list[tuple[int, str]]) -> None:
+    """Likeness against plain paragraphs: of equal ones as many are common as both have."""
+    found, rows = found.set_index("doc_id"), sorted(rows)
     by_text = {}
-    for k, i in enumerate(ids):
-        text, following = texts[k], texts[(k + 1) % len(texts)]
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
         assert found.n_chars[i] == len(text) and found.edited_sha256[i] == hashlib.sha256(changed.encode()).hexdigest()
         assert by_text.setdefault(text, found.fingerprint[i]) == found.fingerprint[i]
-        own, other = (set(fingerprints.paragraph_digests(pa.array([t]))[0].tolist()) for t in (text, following))
-        assert found.near_next[i] == pytest.approx(len(own & other) / len(own | other) if own | other else 1)
+        own = plain_paragraphs(text)
+        for column, other in (("near_next", plain_paragraphs(following)), ("near_edited", plain_paragraphs(changed))):
+            every = (own | other).total()
+            assert found[column][i] == pytest.approx((own & other).total() / every if every else 1)
+        (n,), sketch = fingerprints.to_sketches([found.fingerprint[i]])
+        assert n == own.total() and sketch.texts([n]) == [found.fingerprint[i]]
+
+
+def test_fingerprints(spark, documents):
+    found = fingerprints.op2_fingerprints(spark, DATA).toPandas()
+    check_fingerprints(found, list(zip(documents["doc_id"], documents["text"], strict=True)))
     assert (found.near_edited > found.near_next).mean() > 0.95
+    # what the fingerprints tell by themselves
+    _, own = fingerprints.to_sketches(found.fingerprint.tolist())
+    _, edited = fingerprints.to_sketches(found.edited_fingerprint.tolist())
+    assert ((own.minus(edited).peel()[3]) == (found.cells_edited == fingerprints.CELLS)).all()
+
+
+def test_fingerprints_of_far_ids(spark, documents, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PART_ROWS", 20)
+    texts = documents["text"].tolist()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2**60 + i, t) for i, t in enumerate(texts[:50])] + [(-(2**62), texts[3]), (2**62 + 5, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [r["count"] for r in fingerprints.with_next(docs, "text", "doc_id").filter("guard = 0").groupBy("part").count().collect()]
+    assert sum(parts) == len(rows) and max(parts) <= 40
+    check_fingerprints(fingerprints.fingerprint_versions(docs).toPandas(), rows)
 
 
 # 3
@@ -101,6 +155,27 @@ def test_targets_stop_at_three_times(spark):
     assert found["b"] == pytest.approx(2 * (2011 - 33) / 3) and found["c"] == pytest.approx((2011 - 33) / 3)
 
 
+def test_every_document_is_drawn_by_its_fraction(spark):
+    # one source of 400 documents of about the same size at a rate of 0.625: over many seeds, each is drawn so often
+    docs = spark.createDataFrame([(i, "w " * (20 + i % 5), "a" if i < 400 else "b") for i in range(640)], "doc_id long, text string, source string")
+    drawn = np.zeros(640)
+    for seed in range(10):
+        found = mixing.copies(docs, weights=(1, 1), seed=seed).toPandas().sort_values("doc_id")
+        drawn += found["copies"].to_numpy()
+        by_source = found.assign(taken=found["copies"] * found["size"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        assert ((by_source.taken - by_source.target).abs() / by_source.target).max() < 0.01
+    for rate, part in ((0.8, drawn[:400] / 10), (4 / 3, drawn[400:] / 10)):
+        assert abs(part.mean() - rate) < 0.02 and abs(part.std() - math.sqrt((rate % 1) * (1 - rate % 1) / 10)) < 0.03
+
+
+def test_mix_keeps_repeated_rows_apart(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d e f g", "s"), (3, None, None)] + [(10 + i, "x " * (1 + i % 7), "t") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = mixing.copies(docs).groupBy("doc_id").sum("copies").filter("`sum(copies)` > 0").collect()
+    got = mixing.mix(docs).groupBy("doc_id").count().collect()
+    assert {r[0]: r[1] for r in wanted} == {r[0]: r[1] for r in got}
+
+
 def test_mix_emits_copies(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "ab"[i % 2], i) for i in range(200)], "doc_id long, text string, source string, __copies int")
     wanted = {r["doc_id"]: r["copies"] for r in mixing.copies(docs).collect()}
@@ -119,6 +194,19 @@ def test_folding():
     assert lexicon.weight(toxicity.fold("trash, trash can, IDI0T idiotic")) == 5
 
 
+def test_exceptions_in_linear_time_and_over_cuts(monkeypatch):
+    lexicon = toxicity.Lexicon({" trash": 2.0, " moron ": 3.0})
+    began = time.time()
+    assert lexicon.weight(toxicity.fold("trash can trash now " * 50_000)) == 100_000
+    assert time.time() - began < 5
+    text = "a trash can moron trash bags trash x " * 30
+    whole = lexicon.weight(toxicity.fold(text))
+    for limit in (7, 13, 40, 200):
+        monkeypatch.setattr(toxicity, "slices", lambda d, o, c, n=limit: common.slices(d, o, c, n))
+        weight, _ = toxicity.Weigher(lexicon)(pa.array([text, "fine"]))
+        assert weight.tolist() == [whole, 0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     data = "/root/testdata/sf0.1"
     rows = toxicity.op4_toxicity(spark, data).toPandas().merge(spark.read.parquet(f"{data}/labels.parquet").toPandas(), on="doc_id")
@@ -159,6 +247,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
 <form><input>Go</form><div class="ad-slot">Buy</div><section id="comments"><article class="comment">nice</article></section></article><aside>x</aside></main><footer>f</footer>"""
 
 
+def test_long_urls_are_judged_alike():
+    globs = url_filter.GlobSet(["*.a#/x*", "*b?c*", "*" + "d" * 70 + "*", ""])
+    texts = [b"." + b"q" * n + b".a#/x" + b"b_c" * k + b"d" * 70 for n in (3, 2000, 100_000) for k in (0, 1)]
+    found = globs.match([*texts, b""])
+    assert found.tolist() == [[True, k == 1, True, False] for _ in range(3) for k in (0, 1)] + [[False, False, False, True]]
+
+
 def test_main_text():
     page = PAGE.format(title="Title &amp; more", body="<p>One <b>two</b>\n three<p>Four&nbsp;five<ul><li>a<li>b</ul><script>no()</script>")
     assert html_extract.main_text(html_extract.parse(page)).split("\n") == ["Title & more", "Same everywhere", "One two three", "Four five", "a", "b"]
@@ -426,6 +521,34 @@ def test_exact_groups_keep_either_end(spark):
         assert found.keep_id.tolist() == ends and found.kept.tolist() == [i == e for i, e in zip(range(1, 7), ends, strict=True)]
 
 
+def test_exact_groups_over_several_runs(spark, monkeypatch):
+    seen = []
+    plain = exact_dedup.DigestIndex.hits
+    monkeypatch.setattr(exact_dedup.DigestIndex, "hits", lambda self: (seen.append([len(level) for level in self.levels]), plain(self))[1])
+    rng = random.Random(4)
+    rows = [(i, f"{rng.choice('ab')} text {rng.randrange(120)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = defaultdict(list)
+    for i, t in rows:
+        wanted[t].append(i)
+    for memtable, fanin in ((1000, 8), (20, 8), (20, 3), (7, 2)):
+        found = exact_dedup.exact_groups(docs, memtable=memtable, fanin=fanin).toPandas().set_index("doc_id")
+        assert found.keep_id.to_dict() == {i: min(wanted[t]) for i, t in rows} and found.group_size.to_dict() == {i: len(wanted[t]) for i, t in rows}
+    assert seen[0] == [1] and sum(seen[1]) > 1 and len(seen[2]) > 1 and len(seen[3]) > 2
+
+
+def test_filters_let_no_member_out(spark):
+    rows = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), (F.col("id") % 3).cast("int").alias("run"))
+    found = exact_dedup.Filters(rows).probe(rows).filter("maybe").count(), exact_dedup.Filters(rows).probe(rows, F.col("run")).filter("maybe").count()
+    assert found[0] == 3000 and found[1] < 600
+
+
+def test_dropping_copies_by_key_and_text(spark):
+    rows = spark.createDataFrame([(5, "A", "x"), (5, "B", "x"), (9, "a", "y"), (9, "a", "y"), (None, "b", "z"), (2, "b", "w")], "doc_id long, text string, lang string")
+    left = exact_dedup.drop_copies(rows, keep="max").collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left) == [(-1, "b"), (5, "B"), (9, "a")]
+
+
 def test_exact_groups_survive_a_digest_clash(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "_digest", lambda norm: exact_dedup.F.lit("the same"))
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A"), (4, "b")], "doc_id long, text string")
