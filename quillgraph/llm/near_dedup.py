@@ -9,7 +9,8 @@
    MAX_DISTANCE are guaranteed to share a key. Nodes that share one are candidates unless their
    signatures' bits differ in more than FAR of SLOTS places. A pair at a similarity of just 0.8 becomes
    a candidate with a probability of 1 - 2.7e-5 (no key: 2.3e-5; beyond FAR: 4e-6), above it with more;
-   at 0.5, one pair in eighty that share a key passes.
+   at 0.5, one pair in eighty that share a key passes. A key of more than RUN nodes is compared in
+   cells of two blocks each, so that no task holds it whole and no pair is left out.
 3. Components of candidates are families. Within a family, full sets are compared exactly. A large
    family is first pruned: a member of whose shingles too few stand in any other member can't be
    linked. What is left is cut into blocks: each block is compared in itself and with the first block;
@@ -41,6 +42,8 @@ SLOTS, BITS, FAR = 160, 2, 46
 WORDS = SLOTS * BITS // 64
 #: Sets that one block of a large family holds about.
 BLOCK = 96
+#: Nodes of one key that are compared in one piece (some 60 bytes each).
+RUN = 1 << 16
 
 _RANDOM = np.random.default_rng(20240607)
 _XOR = _RANDOM.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2)
@@ -181,29 +184,100 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return data[offs[0] : offs[-1]].reshape(-1, width)
 
 
-def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key's run, links from each set to the first of its candidate component."""
-    for batch in runs(batches, 1):
-        bounds = run_bounds(batch, 1)
-        lengths = np.diff(bounds)
-        if not (lengths > 1).any():
+def short_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """runs() by the first column; rows of a run found to be longer than `most` come as they are, marked True."""
+    held: list[pa.RecordBatch] = []
+    passing = None  # the key of the long run that goes by
+    for batch in batches:
+        if passing is not None and batch.num_rows:
+            keys = batch.column(0).to_numpy()
+            head = int(np.argmax(keys != passing)) if (keys != passing).any() else len(keys)
+            if head:
+                yield batch.slice(0, head), True
+            batch, passing = batch.slice(head), passing if head == len(keys) else None
+        if not batch.num_rows:
             continue
-        ids, small = batch.column(1).to_numpy(), np.ascontiguousarray(_fixed(batch.column(2), 8 * WORDS)).view(np.uint64)
-        follows = np.ones(len(ids), bool)  # row i and i + 1 are of one run
-        follows[bounds[1:] - 1] = False
-        at = np.flatnonzero(follows)
-        near = far_apart(small[at], small[at + 1]) <= FAR
-        a, b = [], []
-        two = lengths[np.searchsorted(bounds, at, side="right") - 1] == 2
-        a.append(ids[at[two & near] + 1])
-        b.append(ids[at[two & near]])
-        for run in np.flatnonzero(lengths > 2).tolist():
-            own = slice(bounds[run], bounds[run + 1])
-            label = near_groups(small[own])
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            a.append(ids[own][linked])
-            b.append(ids[own][label[linked]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        keys = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() != keys[0]:
+            yield from ((one, False) for one in runs(iter(held), 1))
+            held = []
+        cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(cut):
+            yield from ((one, False) for one in runs(iter([*held, batch.slice(0, cut[-1])]), 1))
+            held = []
+        held.append(batch.slice(cut[-1] if len(cut) else 0))
+        if sum(one.num_rows for one in held) > most:
+            passing = held[0].column(0)[0].as_py()
+            yield from ((one, True) for one in held)
+            held = []
+    yield from ((one, False) for one in runs(iter(held), 1))
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(_fixed(column, 8 * WORDS)).view(np.uint64)
+
+
+def _candidate_edges(most: int) -> Callable:
+    """Of each key's run of rows (k, id, small), links (a, b) from each set to the first of its candidate
+    component. Rows of runs longer than `most` are passed on: k, their id as a, their signature."""
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], ["a", "b", "k", "small"])
+
+    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.nulls(batch.num_rows, pa.int64()), batch.column(0), batch.column(2)], ["a", "b", "k", "small"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, long in short_runs(batches, most):
+            if long:
+                yield passed(batch)
+                continue
+            bounds = run_bounds(batch, 1)
+            lengths = np.diff(bounds)
+            if not (lengths > 1).any():
+                continue
+            ids, small = batch.column(1).to_numpy(), _signatures(batch.column(2))
+            follows = np.ones(len(ids), bool)  # row i and i + 1 are of one run
+            follows[bounds[1:] - 1] = False
+            at = np.flatnonzero(follows)
+            near = far_apart(small[at], small[at + 1]) <= FAR
+            a, b = [], []
+            two = lengths[np.searchsorted(bounds, at, side="right") - 1] == 2
+            a.append(ids[at[two & near] + 1])
+            b.append(ids[at[two & near]])
+            for k in np.flatnonzero(lengths > 2).tolist():
+                own = slice(bounds[k], bounds[k + 1])
+                if lengths[k] > most:
+                    yield passed(batch.slice(bounds[k], lengths[k]))
+                    continue
+                label = near_groups(small[own])
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                a.append(ids[own][linked])
+                b.append(ids[own][label[linked]])
+            yield links(np.concatenate(a), np.concatenate(b))
+
+    return run
+
+
+def _cell_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell's run of rows (k, i, j, id, small), links from each set to the first of its candidate component."""
+    for batch in runs(batches, 3):
+        bounds = run_bounds(batch, 3)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            ids = batch.column(3).slice(lo, hi - lo)
+            label = near_groups(_signatures(batch.column(4).slice(lo, hi - lo)))
+            linked = pa.array(np.flatnonzero(label != np.arange(len(label))))
+            yield pa.RecordBatch.from_arrays([ids.take(linked), ids.take(pa.array(label).take(linked))], ["a", "b"])
+
+
+def _long_run_edges(rows: DataFrame, most: int) -> DataFrame:
+    """Links among rows(k, id, small) of keys that many nodes share: each key's nodes are cut into blocks,
+    and each pair of blocks is a cell of about `most` nodes. Every pair of nodes meets in a cell."""
+    sizes = saved(rows.groupBy("k").agg(F.ceil(2 * F.count(F.lit(1)) / most).cast("int").alias("blocks")))
+    placed = rows.join(_counted(sizes), "k").withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), "blocks").cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "small")
+    return arrow(cells.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "id"), _cell_edges, "a bigint, b bigint")
 
 
 def confirmed(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None) -> np.ndarray:
@@ -338,7 +412,7 @@ def _links(texts: DataFrame, candidates: DataFrame, width: int, percent: int, bl
     return edges.unionByName(saved(arrow(grid, _confirmed_edges(percent, 3), "a bigint, b bigint")))
 
 
-def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """key, n_shingles, component_id, kept, text_hash for every row.
 
     Words are runs without white space, A-Z lower-cased; a text's set are its distinct shingles of
@@ -380,8 +454,13 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     usable = signed.filter("node IS NOT NULL AND id IS NOT NULL")
     nodes = saved(usable.groupBy("node").agg(F.min(F.struct("id", "h", "sig")).alias("first")).select("node", F.col("first.id").alias("rep"), F.col("first.h").alias("h"), F.col("first.sig").alias("sig")))
     keyed = arrow(nodes.select(F.col("node").alias("id"), "sig"), to_keys, "k bigint, id bigint, small binary")
-    near = arrow(keyed.repartition("k").sortWithinPartitions("k", "id"), _candidate_edges, "a bigint, b bigint")
-    candidates = components(near)
+    near = saved(arrow(keyed.repartition("k").sortWithinPartitions("k", "id"), _candidate_edges(run), "a bigint, b bigint, k bigint, small binary"))
+    edges = near.filter("k IS NULL").select("a", "b")
+    crowded = near.filter("k IS NOT NULL").select("k", F.col("a").alias("id"), "small")
+    if not crowded.isEmpty():
+        edges = edges.unionByName(_long_run_edges(crowded, run))
+    candidates = components(edges)
+    drop_saved(docs.sparkSession, near)
     # a text of each candidate
     wanted = saved(candidates.select(F.col("id").alias("node")).join(nodes.drop("sig"), "node").select("node", F.col("rep").alias("id"), "h"))
     texts = docs.join(_counted(wanted), ["id", "h"]).select(F.col("node").alias("id"), "text")

@@ -436,8 +436,8 @@ def plain_components(texts: dict[int, str | None], width: int, percent: int) ->
     return {i: len(s) for i, s in sets.items()}, {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
-def test_near_components(spark, block):
+@pytest.mark.parametrize(("block", "run"), [(near_dedup.BLOCK, near_dedup.RUN), (3, near_dedup.RUN), (near_dedup.BLOCK, 3)])
+def test_near_components(spark, block, run):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = [rng.choices(words, k=rng.randrange(3, 60)) for _ in range(12)]
@@ -449,11 +449,29 @@ def test_near_components(spark, block):
         texts[i] = " ".join(w)
     sizes, wanted = plain_components(texts, 4, 80)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found = near_dedup.near_components(rows, width=4, block=block).toPandas().set_index("doc_id")
+    found = near_dedup.near_components(rows, width=4, block=block, run=run).toPandas().set_index("doc_id")
     assert found.n_shingles.to_dict() == sizes and found.component_id.to_dict() == wanted
     assert (found.kept == (found.index == found.component_id)).all()
 
 
+def test_long_runs_go_by_in_pieces():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        keys = np.repeat(np.arange(12), rng.choice([0, 1, 2, 5, 40, 90], 12)) - 3
+        cuts = np.sort(rng.integers(0, len(keys) + 1, rng.integers(0, 9)))
+        parts = [p for p in np.split(keys, cuts)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.arange(len(p)), pa.int64())], ["k", "id"]) for p in parts]
+        found = [(batch.column(0).to_numpy(), long) for batch, long in near_dedup.short_runs(iter(batches), 20)]
+        assert sum((k.tolist() for k, _ in found), []) == keys.tolist()
+        longest = max((len(p) for p in parts), default=0)
+        for k, long in found:
+            assert len(k) and len(k) <= 20 + longest
+            if long:
+                assert len(set(k)) == 1 and (keys == k[0]).sum() > 20
+            else:  # whole runs
+                assert all((k == x).sum() == (keys == x).sum() for x in set(k))
+
+
 def test_signatures_share_a_key_within_the_distance():
     rng = np.random.default_rng(7)
     one = rng.integers(0, 1 << 32, (200, near_dedup.KEY_SLOTS), dtype=np.uint32)
