@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter
+from . import exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, periodic_runs, records, token_counts, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_records": records.op11_token_records,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {

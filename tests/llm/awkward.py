@@ -31,7 +31,10 @@ def awkward_pandas(empty: bool = False) -> dict[str, pd.DataFrame]:
             "wrapper": ["clash"] * 8,
         }
     )
-    frames = {"documents": documents, "labels": labels, "pages": pages}
+    vectors = [[1.5, -0.25, 3.0], None, [1.0, None, 2.0], [float("nan"), 0.0, 1.0], [float("inf"), 0.0, 1.0], [], [1.0, 2.0], [1.5, -0.25, 3.0], [-0.001, 0.0, -0.0], [0.0, 7.0, 1e30], [4.0, 4.0, 4.0], [0.5, -2.0, 1.0]]
+    embeddings = pd.DataFrame({"vec_id": pd.array([*range(11), None], "Int64"), "embedding": vectors, **{name: ["clash"] * 12 for name in ("x", "n", "component", "__key", "whitened")}})
+    embeddings = pd.concat([embeddings, embeddings.iloc[[8]]], ignore_index=True)
+    frames = {"documents": documents, "labels": labels, "pages": pages, "embeddings": embeddings}
     return {k: v.iloc[:0] if empty else v for k, v in frames.items()}
 
 
@@ -41,5 +44,6 @@ def write_tables(folder, empty: bool = False) -> None:
 
     for name, frame in awkward_pandas(empty).items():
         table = pa.Table.from_pandas(frame, preserve_index=False)
-        fields = [pa.field(f.name, pa.int64() if f.name in ("doc_id", "page_id", "n_chars", "quality", "toxic") else pa.string()) for f in table.schema]
+        kinds = dict.fromkeys(("doc_id", "page_id", "vec_id", "n_chars", "quality", "toxic"), pa.int64()) | {"embedding": pa.list_(pa.float32())}
+        fields = [pa.field(f.name, kinds.get(f.name, pa.string())) for f in table.schema]
         pq.write_table(table.cast(pa.schema(fields)), folder / f"{name}.parquet")

@@ -36,6 +36,9 @@ def test_every_row_has_a_result(spark, tmp_path, name):
         assert len(found) == rows["doc_id"].notna().sum()
     elif name == "op7_best_fit_packing":
         assert (found["piece"] == 0).sum() == len(rows)
+    elif name == "op12_embedding_whitening":
+        # seven sound vectors of the usual length, one of them twice, and three components
+        assert len(found) == 7 * 3 and found["vec_id"].nunique() == 5
     else:
         assert len(found) == len(rows)
 
