@@ -315,6 +315,6 @@ def read_sequences(spark: SparkSession, folder: str, seed: int | None = None, id
 
 def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
-    remove_at_exit(spark, folder)
     write_sequences(table(spark, sf_dir, "documents"), folder)
+    remove_at_exit(spark, folder)  # the result still reads it
     return read_sequences(spark, folder, ids="bytes").select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
