@@ -48,7 +48,11 @@ def external_nodes(selected: DataFrame, refs: DataFrame) -> DataFrame:
     """
     rows = refs.join(selected.select("item_key", "sel_pos"), "item_key")
     meta = F.struct("title", "year", "date", "doi", "cited_by")
-    met = rows.groupBy("id").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("sel_pos", "ref_pos", meta.alias("meta"))).alias("first"))
+    return external_rows(rows.groupBy("id").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("sel_pos", "ref_pos", meta.alias("meta"))).alias("first")))
+
+
+def external_rows(met: DataFrame) -> DataFrame:
+    """External nodes of met(id, occurrences, first)."""
     m = F.col("first.meta")
     return met.select("id", X.first_present(m["title"], F.col("id")).alias("label"), F.lit("external").alias("type"), m["year"].cast("string").alias("year"), m["date"].alias("date"), F.col("occurrences").alias("cited_by"), m["cited_by"].alias("global_cited_by"), m["doi"].alias("doi"), F.lit(None).cast("string").alias("collection"))
 

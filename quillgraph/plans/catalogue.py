@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import citations, components, jobs, library, narration, state, timeline, tree
 from ..sources import tables
 from ..sources.tables import table
-from ..storage import shared_dir, written
+from ..storage import new_store, written
 from . import inputs as I
 from .queries import _CLOSURE, _COMPONENTS, _EDGES, _JOBS, _LIB, _REC, _REF, _REGION, _edges, _library, _part_selection, _plain_nodes, _small_selection, _whole_graph, query
 
@@ -156,9 +156,7 @@ def accepted_writes(spark, d):
 @query("SELECT 'o' || o_orderkey AS item_key, CASE o_orderstatus WHEN 'P' THEN 'no_doi' ELSE 'mapped' END AS status FROM orders")
 def versioned_records(spark, d):
     # a first version, a second one with what was found later, and a writer of the first that comes too late
-    import uuid
-
-    root = f"{shared_dir(spark)}/quillgraph-store-{uuid.uuid4().hex}"
+    root = new_store(spark)
     recs = I.records(spark, d).select("item_key", "status")
     first = tables.commit_version(recs, root, -1)
     later = tables.upsert_version(root, recs.filter("status = 'not_found'").withColumn("status", F.lit("mapped")), "item_key", first)

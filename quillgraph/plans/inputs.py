@@ -89,3 +89,39 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "done").when(kind == "error", "error").when(kind == "click", "running").otherwise("queued")
     return table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("doc_id"), status.alias("status"), F.col("ts").alias("mtime"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("path"), F.lit(None).cast("string").alias("error"))
+
+
+def record_log(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of users' records as they arrive, one an event: some are misses, each lists other works, and what a list says of a work differs from version to version."""
+    e = F.col("event_id")
+    work_no = lambda j: F.pmod(e * 7 + j * j, F.lit(997))
+
+    def entry(j):
+        w = work_no(j)
+        title = F.when(w % 4 != 0, F.concat(F.lit("Work "), w.cast("string"), F.lit(", as cited "), F.pmod(e, F.lit(3)).cast("string")))
+        return F.struct(
+            F.when(F.pmod(e + j, F.lit(11)) != 0, F.concat(F.lit("w"), w.cast("string"))).alias("id"),
+            title.alias("title"),
+            (w % 40 + 1980).cast("int").alias("year"),
+            F.lit(None).cast("string").alias("date"),
+            F.lit(None).cast("string").alias("doi"),
+            (w + F.pmod(e, F.lit(3))).alias("citedBy"),
+        )
+
+    lists = F.transform(F.sequence(F.lit(0).cast("bigint"), F.pmod(e, F.lit(6))), entry)
+    return table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item_key"),
+        F.when(F.col("event_type") == "error", "not_found").otherwise("mapped").alias("status"),
+        F.lit(2).alias("v"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.pmod(e, F.lit(500)).alias("cited_by"),
+        F.lit(None).cast("string").alias("doi"),
+        lists.alias("references"),
+        F.array().cast(lists_type()).alias("citingWorks"),
+        F.col("ts").cast("timestamp").alias("fetchedAt"),
+        e,
+    )
+
+
+def lists_type() -> str:
+    return "array<struct<id:string,title:string,year:int,date:string,doi:string,citedBy:bigint>>"

@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_store(spark: SparkSession) -> str:
+    """The path of a new folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/quillgraph-store-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)  # only what exists can be marked
+    fs.deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage is cut and nothing is computed twice. It goes when the application ends."""
     spark = df.sparkSession
