@@ -53,8 +53,10 @@ def collision_radius(value: Column) -> Column:
     return F.greatest(F.lit(4.5), F.sqrt(value) * 3.2) + 3
 
 
-def link_distance(radius_a: Column, radius_b: Column, degree: Column) -> Column:
-    return F.greatest(F.lit(42.0), radius_a + radius_b + F.least(F.lit(96.0), F.sqrt(degree) * 12))
+def link_distance(radius_a: Column, radius_b: Column, degree_a: Column, degree_b: Column) -> Column:
+    """A link's wanted length: both radii and room for the busier end. A node that isn't drawn has radius 8, one without links degree 1."""
+    hub = F.greatest(F.coalesce(degree_a, F.lit(1)), F.coalesce(degree_b, F.lit(1)))
+    return F.greatest(F.lit(42.0), F.coalesce(radius_a, F.lit(8.0)) + F.coalesce(radius_b, F.lit(8.0)) + F.least(F.lit(96.0), F.sqrt(hub) * 12))
 
 
 def component_radius(squares: Column, members: Column) -> Column:

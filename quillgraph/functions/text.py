@@ -120,18 +120,23 @@ def detail_line(year: Column, cited_by: Column, external: Column) -> Column:
 
 
 def passage_form(c: Column) -> Column:
-    """Lower-case, white space collapsed, without dots at the end."""
-    return F.trim(F.regexp_replace(collapse_ws(F.lower(c)), r"[.…]+\s*$", ""))
+    """Lower-case, runs of white space as one space, without dots at the very end, then trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), r"[.]+\z", ""))
 
 
 def passage_needle(c: Column, words: int = 8) -> Column:
+    """The first words of a passage."""
     return F.array_join(F.slice(F.split(passage_form(c), " "), 1, words), " ")
 
 
+#: Characters that a block must have to count as part of a passage.
+LEAST_BLOCK = 4
+
+
 def passage_hit(block: Column, passage: Column) -> Column:
-    """Whether a block shows a passage: its first words, at least 4 characters of them, stand in the block."""
-    needle = passage_needle(passage)
-    return (F.length(needle) >= 4) & F.contains(passage_form(block), needle)
+    """Whether a block shows a passage: it stands in the passage as a whole, or the passage's first words stand in it. Short blocks never do."""
+    form, needle = passage_form(block), passage_needle(passage)
+    return (F.length(form) >= LEAST_BLOCK) & (F.contains(passage_form(passage), form) | ((needle != "") & F.contains(form, needle)))
 
 
 def html_escape(c: Column) -> Column:

@@ -19,35 +19,37 @@ def _grams(text: Column, size: int = GRAM) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def _rarest(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(s, gram, at) of inner(s): of each string the gram that fewest strings of outer(s) have, and its first place.
+def _rarest(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
+    """(by, s, gram, at) of inner(by, s): of each string the gram that fewest strings of outer(by, s) have, and its first place.
 
     Strings with a gram that none of outer has can't stand in any of them and are left out.
     """
-    own = inner.select("s", F.posexplode(_grams(F.col("s"))).alias("at", "gram"))
+    key = [*by, "gram"]
+    own = inner.select(*by, "s", F.posexplode(_grams(F.col("s"))).alias("at", "gram"))
     # only grams that are asked for are counted
-    asked = own.select("gram").distinct()
-    known = outer.select(F.explode(F.array_distinct(_grams(F.col("s")))).alias("gram")).join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("strings"))
-    ranked = own.join(known, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("strings", F.lit(0)).alias("strings"), "at", "gram")).alias("g"))
-    return ranked.filter("g.strings > 0").select("s", "g.gram", "g.at")
+    asked = own.select(*key).distinct()
+    known = outer.select(*by, F.explode(F.array_distinct(_grams(F.col("s")))).alias("gram")).join(asked, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("strings"))
+    ranked = own.join(known, key, "left").groupBy(*by, "s").agg(F.min(F.struct(F.coalesce("strings", F.lit(0)).alias("strings"), "at", "gram")).alias("g"))
+    return ranked.filter("g.strings > 0").select(*by, "s", "g.gram", "g.at")
 
 
-def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Distinct (s, whole): which strings of inner(s) stand in which of outer(s); none of them empty.
+def contained(inner: DataFrame, outer: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct (by, s, whole): which strings of inner(by, s) stand in which of outer(by, s) with the same `by`; none of them empty.
 
     A string is looked up by its rarest gram among the postings (gram, place) of the other side, and
     compared at that place alone; strings shorter than a gram by themselves among all substrings of their
     length. Joins are on equal keys only.
     """
-    wholes = outer.select(F.col("s").alias("whole"))
-    postings = wholes.select("whole", F.posexplode(_grams(F.col("whole"))).alias("place", "gram"))
+    by = by or []
+    wholes = outer.select(*by, F.col("s").alias("whole"))
+    postings = wholes.select(*by, "whole", F.posexplode(_grams(F.col("whole"))).alias("place", "gram"))
     # substring() counts from 1 and is never asked for a place before it
     begin = F.col("place") - F.col("at") + 1
-    long = _rarest(inner.filter(F.length("s") >= GRAM), outer).join(postings, "gram").filter((begin >= 1) & (F.substring(F.col("whole"), begin, F.length("s")) == F.col("s"))).select("s", "whole")
-    shorts = [inner.filter(F.length("s") == n).select("s").join(wholes.select("whole", F.explode(F.array_distinct(_grams(F.col("whole"), n))).alias("s")), "s").select("s", "whole") for n in range(1, GRAM)]
-    out = long
-    for part in shorts:
-        out = out.unionByName(part)
+    found = _rarest(inner.filter(F.length("s") >= GRAM), outer, by).join(postings, [*by, "gram"])
+    out = found.filter((begin >= 1) & (F.substring(F.col("whole"), begin, F.length("s")) == F.col("s"))).select(*by, "s", "whole")
+    for n in range(1, GRAM):
+        pieces = wholes.select(*by, "whole", F.explode(F.array_distinct(_grams(F.col("whole"), n))).alias("s"))
+        out = out.unionByName(inner.filter(F.length("s") == n).select(*by, "s").join(pieces, [*by, "s"]).select(*by, "s", "whole"))
     return out.distinct()
 
 
@@ -102,3 +104,20 @@ def resolve_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
         found = found.unionByName(q.crossJoin(F.broadcast(t.drop("tl"))).select("query_id", place.alias("p"), F.lit(3).alias("rule"), overlap.alias("score")))
     out = found.groupBy("query_id").agg(F.min(F.struct("rule", "p", "score")).alias("b"))
     return out.select("query_id", F.col("b.p.doc_id").alias("doc_id"), F.col("b.rule").alias("rule"), F.col("b.score").alias("score"))
+
+
+def passage_blocks(blocks: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Distinct (key, passage, block): which blocks of a document show which of its passages, by passage_hit().
+
+    blocks(key, block, text), passages(key, passage, text). Both branches of the rule are containments
+    within a document and looked up by postings; no block meets a passage with which it shares no gram.
+    """
+    b = blocks.select(key, "block", X.passage_form(F.col("text")).alias("form")).filter(F.length("form") >= X.LEAST_BLOCK)
+    p = passages.select(key, "passage", X.passage_form(F.col("text")).alias("form"), X.passage_needle(F.col("text")).alias("needle"))
+    forms = lambda rows, column: rows.select(key, F.col(column).alias("s")).filter("s <> ''").distinct()
+    inside = contained(forms(b, "form"), forms(p, "form"), [key]).select(key, F.col("s").alias("b"), F.col("whole").alias("p"))
+    around = contained(forms(p, "needle"), forms(b, "form"), [key]).select(key, F.col("whole").alias("b"), F.col("s").alias("n"))
+    names = b.select(key, "block", F.col("form").alias("b"))
+    first = inside.join(names, [key, "b"]).join(p.select(key, "passage", F.col("form").alias("p")), [key, "p"])
+    second = around.join(names, [key, "b"]).join(p.select(key, "passage", F.col("needle").alias("n")), [key, "n"])
+    return first.select(key, "passage", "block").unionByName(second.select(key, "passage", "block")).distinct()

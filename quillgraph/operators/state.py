@@ -37,11 +37,15 @@ def fold_log(log: DataFrame) -> DataFrame:
     return best.select("job_id", F.col("b.status").alias("status"), F.col("b.at").alias("since"), "entries")
 
 
+CANCELLED = "cancelled"
+
+
 def cancelled(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """jobs(job_id, status, ...) after requests(job_id): queued ones are dropped, running ones end at their next step, others stay."""
+    """jobs(job_id, status, ...) with `error` after requests(job_id): queued ones end before they start, running ones at their next step, others stay."""
     asked = jobs.join(requests.select("job_id").distinct().withColumn("__asked", F.lit(True)), "job_id", "left")
-    kept = asked.filter(~(F.coalesce("__asked", F.lit(False)) & (F.col("status") == "queued")))
-    return kept.withColumn("status", F.when(F.col("__asked") & (F.col("status") == "running"), F.lit("error")).otherwise(F.col("status"))).drop("__asked")
+    ends = F.coalesce("__asked", F.lit(False)) & F.col("status").isin("queued", "running")
+    error = F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")
+    return asked.withColumn("error", F.when(ends, CANCELLED).otherwise(error)).withColumn("status", F.when(ends, "error").otherwise(F.col("status"))).drop("__asked")
 
 
 def cleared(log: DataFrame) -> DataFrame:

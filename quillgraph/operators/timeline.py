@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout as L
+from ..functions.text import fnv_unit
 from ..storage import few, ship, written
 
 
@@ -89,13 +90,29 @@ def seed_positions(unplaced: DataFrame, placed: DataFrame, edges: DataFrame) ->
     return both.join(unplaced.select("id").distinct(), "id", "left_semi").join(near, "near").groupBy("id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def circle_seeds(members: DataFrame, radius: float = 40.0) -> DataFrame:
-    """(id, x, y): a component's members on a circle in hash order, each jittered by its hash. members(component, id)."""
-    from ..functions.text import fnv_unit
+#: Radius of a ring of seeds, at least and for each root of its members; how far hashes turn them; distances of jittered nodes.
+RING_LEAST, RING_EACH, RING_TURN = 12.0, 3.1, 0.18
+JITTER_LEAST, JITTER_SPAN = 8.0, 18.0
 
-    unit = fnv_unit(F.col("id").cast("string"))
-    angle = 2 * F.pi() * unit
-    return members.select("id", (F.cos(angle) * (radius * (F.lit(0.75) + unit / 4))).alias("x"), (F.sin(angle) * (radius * (F.lit(0.75) + unit / 4))).alias("y"))
+
+def circle_seeds(members: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, x, y): unplaced members(component, pos, id) on a ring around places(component, x, y), in the order of pos.
+
+    A lone one stands at the place itself. Ranks come from range partitions, for one component may hold most nodes.
+    """
+    ranked = lane_indexes(members.select("id", "pos", F.col("component").alias("type")), ["pos", "id"])
+    sizes = members.groupBy(F.col("component").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ranked.join(sizes, "type").join(places.select(F.col("component").alias("type"), F.col("x").alias("cx"), F.col("y").alias("cy")), "type")
+    angle = F.col("index") / F.col("n") * 2 * F.pi() + fnv_unit(F.col("id").cast("string")) * RING_TURN
+    radius = F.when(F.col("n") == 1, 0.0).otherwise(F.greatest(F.lit(RING_LEAST), F.sqrt("n") * RING_EACH))
+    return rows.select("id", (F.col("cx") + F.cos(angle) * radius).alias("x"), (F.col("cy") + F.sin(angle) * radius).alias("y"))
+
+
+def jittered(seeds: DataFrame) -> DataFrame:
+    """(id, x, y): seeds(id, x, y), each moved by its own hashes, so that nodes with one seed don't fall together."""
+    key = F.col("id").cast("string")
+    angle, distance = fnv_unit(key) * 2 * F.pi(), JITTER_LEAST + fnv_unit(F.concat(key, F.lit(":distance"))) * JITTER_SPAN
+    return seeds.select("id", (F.col("x") + F.cos(angle) * distance).alias("x"), (F.col("y") + F.sin(angle) * distance).alias("y"))
 
 
 def extremes(points: DataFrame) -> DataFrame:

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import written, written_in_two
+from .intervals import distinct_in_subtrees, intervals, within
 
 
-def _climb(start: DataFrame, paths: list[str], on_cycle: str) -> DataFrame:
+#: Rounds after which a tree counts as deep: arrays of ancestors then hold up to 2^SHALLOW ids.
+SHALLOW = 5
+
+
+def _climb(start: DataFrame, paths: list[str], on_cycle: str, rounds: int | None = None) -> DataFrame | None:
     """start(id, up, ...) with the arrays `paths` (the first holds ids) lengthened upwards until up is null.
 
     A row takes over the arrays of the row it points at, so that each round doubles its reach; what has
-    arrived isn't joined again. A row that meets an id of its own stands on a cycle, or leads into one:
-    with on_cycle="keep" it is complete with the ids so far, with "drop" it goes, and what points at it too.
+    arrived is neither joined nor written again. A row that meets an id of its own stands on a cycle, or
+    leads into one: with on_cycle="keep" it is complete with the ids so far, with "drop" it goes, and what
+    points at it too. None if some rows haven't arrived after so many rounds.
     """
-    now = written(start)
-    while not now.filter("up IS NOT NULL").isEmpty():
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in paths))
-        joined = now.filter("up IS NOT NULL").join(above, "up")
+    arrived, now = written_in_two(start, F.col("up").isNull())
+    done = start.limit(0) if arrived is None else arrived
+    while now is not None:
+        if rounds == 0:
+            return None
+        rounds = None if rounds is None else rounds - 1
+        above = now.unionByName(done).select(F.col("id").alias("up"), F.col("up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in paths))
+        joined = now.join(above, "up")
         meets = F.arrays_overlap(paths[0], f"__{paths[0]}")
         if on_cycle == "drop":
             joined = joined.filter(~meets)
@@ -26,16 +36,18 @@ def _climb(start: DataFrame, paths: list[str], on_cycle: str) -> DataFrame:
         else:
             grown = {p: F.when(meets, F.array_distinct(F.concat(p, f"__{p}"))).otherwise(F.concat(p, f"__{p}")) for p in paths}
         jumped = joined.select(*(grown[c].alias(c) if c in grown else F.when(~meets, F.col("__next")).alias("up") if c == "up" else F.col(c) for c in now.columns))
-        now = written(now.filter("up IS NULL").unionByName(jumped))
-    return now
+        arrived, now = written_in_two(jumped, F.col("up").isNull())
+        done = done if arrived is None else done.unionByName(arrived)
+    return done
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, path) of nodes(id, parent): each node's id and those of its ancestors, nearest first; cycles end where they close."""
+def ancestors(nodes: DataFrame, rounds: int | None = None) -> DataFrame | None:
+    """(id, path) of nodes(id, parent): each node's id and those of its ancestors, nearest first; cycles end where they close. None for a tree that takes more rounds."""
     live = nodes.select("id", "parent").distinct()
     has = live.select(F.col("id").alias("parent")).distinct().withColumn("has", F.lit(True))
     start = live.join(has, "parent", "left").select("id", F.when(F.col("has") & (F.col("parent") != F.col("id")), F.col("parent")).alias("up"), F.array("id").alias("path"))
-    return _climb(start, ["path"], "keep").select("id", "path")
+    found = _climb(start, ["path"], "keep", rounds)
+    return None if found is None else found.select("id", "path")
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -48,12 +60,26 @@ def ids_of_keys(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.filter(F.col("key").isin(keys)).select("id")
 
 
+def _on_cycles(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """The nodes that no walk reaches: on cycles, below them or leading into them. Their ancestors and descendants are such nodes too."""
+    return nodes.select("id", "parent").join(spans.select("id"), "id", "left_anti")
+
+
 def descendants(nodes: DataFrame, start: DataFrame, recursive: bool = True) -> DataFrame:
-    """Distinct (start, id): each start with its descendants, or alone; a start is there even if it isn't a node."""
+    """Distinct (start, id): each start with its descendants, or alone; a start is there even if it isn't a node.
+
+    In a shallow tree they are the nodes with the start among their ancestors, in a deep one those in its interval.
+    """
     own = start.select(F.col("id").alias("start"), "id").distinct()
     if not recursive:
         return own
-    below = closure(nodes).join(own.select(F.col("start").alias("ancestor")), "ancestor", "left_semi").select(F.col("ancestor").alias("start"), "id")
+    paths = ancestors(nodes, SHALLOW)
+    spans = None if paths is not None else intervals(nodes)
+    if spans is not None:
+        rest = written(_on_cycles(nodes, spans))
+        paths = ancestors(rest)
+    among = paths.select(F.explode("path").alias("start"), "id").join(own.select("start"), "start", "left_semi")
+    below = among if spans is None else within(spans, own).unionByName(among)
     return own.unionByName(below).distinct()
 
 
@@ -76,10 +102,20 @@ def forest(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_item_counts(nodes: DataFrame, membership: DataFrame) -> DataFrame:
-    """(id, item_count): distinct items of each collection's subtree, 0 without any. membership(id, item_key)."""
-    placed = membership.distinct().join(ancestors(nodes), "id").select("item_key", F.explode("path").alias("id"))
-    inside = placed.groupBy("id").agg(F.count_distinct("item_key").alias("item_count"))
-    return nodes.select("id").distinct().join(inside, "id", "left").select("id", F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"))
+    """(id, item_count): distinct items of each collection's subtree, 0 without any. membership(id, item_key).
+
+    In a shallow tree every membership is counted at all ancestors; in a deep one, where that would be
+    memberships times depth, by intervals.
+    """
+    paths, inside = ancestors(nodes, SHALLOW), None
+    if paths is None:
+        spans = intervals(nodes)
+        inside = distinct_in_subtrees(spans, membership)
+        paths = ancestors(written(_on_cycles(nodes, spans)))
+    placed = membership.distinct().join(paths, "id").select("item_key", F.explode("path").alias("id"))
+    counted = placed.groupBy("id").agg(F.count_distinct("item_key").alias("n"))
+    counted = counted if inside is None else counted.unionByName(inside)
+    return nodes.select("id").distinct().join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("item_count"))
 
 
 def primary_paths(membership: DataFrame, paths: DataFrame) -> DataFrame:

@@ -181,10 +181,10 @@ def job_states(spark, d):
     return state.fold_log(_log(spark, d))
 
 
-@query(f"WITH {_LOG}, asked AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'de') SELECT job_id, CASE WHEN status = 'running' AND job_id IN (FROM asked) THEN 'error' ELSE status END AS status FROM folded WHERE NOT (status = 'queued' AND job_id IN (FROM asked))")
+@query(f"WITH {_LOG}, asked AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'de'), r AS (SELECT *, status IN ('queued', 'running') AND job_id IN (FROM asked) AS ends FROM folded) SELECT job_id, CASE WHEN ends THEN 'error' ELSE status END AS status, CASE WHEN ends THEN 'cancelled' END AS error FROM r")
 def jobs_after_cancel(spark, d):
     asked = table(spark, d, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("job_id"))
-    return state.cancelled(state.fold_log(_log(spark, d)), asked).select("job_id", "status")
+    return state.cancelled(state.fold_log(_log(spark, d)), asked).select("job_id", "status", "error")
 
 
 @query(f'''WITH {_LOG} SELECT job_id, status, "at" FROM log WHERE job_id NOT IN (SELECT job_id FROM folded WHERE status IN ('done', 'error'))''')
@@ -222,11 +222,18 @@ def doi_address_stripped(spark, d):
     return table(spark, d, "part").select("p_partkey", X.strip_doi_address(F.concat(prefix, F.lit("10.1000/AbC"), F.col("p_partkey").cast("string"))).alias("doi"))
 
 
-@query("SELECT o_orderkey, count(l_partkey) AS degree, round(greatest(42, 8 + o_custkey % 7 + least(96, sqrt(count(l_partkey)) * 12)), 6)::DOUBLE AS distance FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey")
+@query(
+    f"""WITH {_EDGES}, g AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM edge UNION ALL SELECT target FROM edge) GROUP BY 1),
+e AS (SELECT DISTINCT source, target FROM edge), r AS (SELECT 'w' || p_partkey AS id, greatest(4.5, sqrt(p_size) * 3.2) + 3 AS r FROM part WHERE p_size <= 40)
+SELECT source, target, round(greatest(42, 8 + coalesce(r, 8) + least(96, sqrt(greatest(a.n, b.n)) * 12)), 6)::DOUBLE AS distance FROM e JOIN g a ON a.id = source JOIN g b ON b.id = target LEFT JOIN r ON r.id = target"""
+)
 def link_distances(spark, d):
-    degree = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("degree"))
-    rows = table(spark, d, "orders").join(degree, "o_orderkey")
-    return rows.select("o_orderkey", "degree", F.round(L.link_distance(F.lit(8.0), (F.col("o_custkey") % 7).cast("double"), F.col("degree")), 6).alias("distance"))
+    edges = written(_edges(spark, d))
+    degree = written(citations.degrees(edges))
+    end = lambda name: degree.select(F.col("id").alias(name), F.col("degree").alias(f"{name}_degree"))
+    size = table(spark, d, "part").filter("p_size <= 40").select(I.work("p_partkey").alias("target"), L.collision_radius(F.col("p_size")).alias("radius"))
+    rows = edges.distinct().join(end("source"), "source").join(end("target"), "target").join(size, "target", "left")
+    return rows.select("source", "target", F.round(L.link_distance(F.lit(None).cast("double"), F.col("radius"), F.col("source_degree"), F.col("target_degree")), 6).alias("distance"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE (p_size + 1970) || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' · ' END END || CASE WHEN p_size % 3 = 0 THEN '' ELSE p_size || ' citations' END || CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 5 = 0 AND p_size % 3 = 0 THEN '' ELSE ' · ' END || 'external' ELSE '' END AS line FROM part")
@@ -284,15 +291,36 @@ def byte_shares(spark, d):
     return narration.byte_shares(files).select("kind", "bytes", F.round("percent", 6).alias("percent"))
 
 
-_UNIT = "list_reduce(list_prepend(2166136261, list_transform(string_split(p_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) / 4294967295.0::DOUBLE"
+def _unit(text: str) -> str:
+    return f"list_reduce(list_prepend(2166136261, list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) / 4294967295.0::DOUBLE"
+
 
+def _ring(spark, d):
+    """Parts as nodes, their brand as component (one part alone in its own), and where components stand."""
+    alone = F.when(F.col("p_partkey") == 7, "alone").otherwise(F.col("p_brand"))
+    p = table(spark, d, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("pos"), alone.alias("component"), "p_size", "p_retailprice")
+    return p, p.groupBy("component").agg(F.min("p_size").cast("double").alias("x"), F.max("p_retailprice").alias("y"))
 
-@query(f"WITH u AS (SELECT p_partkey, {_UNIT} AS u FROM part) SELECT p_partkey, round(cos(2 * pi() * u) * (40 * (0.75 + u / 4)), 6) AS x, round(sin(2 * pi() * u) * (40 * (0.75 + u / 4)), 6) AS y FROM u")
+
+@query(
+    f"""WITH p AS (SELECT 'n' || p_partkey AS id, p_partkey, CASE WHEN p_partkey = 7 THEN 'alone' ELSE p_brand END AS c, p_size, p_retailprice FROM part),
+r AS (SELECT id, row_number() OVER (PARTITION BY c ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY c) AS n, min(p_size) OVER (PARTITION BY c) AS x, max(p_retailprice) OVER (PARTITION BY c) AS y, {_unit('id')} AS u FROM p),
+a AS (SELECT *, i / n * 2 * pi() + u * 0.18 AS angle, CASE WHEN n = 1 THEN 0 ELSE greatest(12, sqrt(n) * 3.1) END AS radius FROM r)
+SELECT id, round(x + cos(angle) * radius, 6) AS x, round(y + sin(angle) * radius, 6) AS y FROM a"""
+)
 def circle_seeds(spark, d):
-    # ids whose hash is told by their name
-    rows = table(spark, d, "part").select(F.col("p_name").alias("id"), "p_partkey")
-    seeds = timeline.circle_seeds(rows.select("id").distinct())
-    return rows.join(seeds, "id").select("p_partkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    seeds = timeline.circle_seeds(*_ring(spark, d))
+    return seeds.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(
+    f"""WITH p AS (SELECT 'n' || p_partkey AS id, p_size AS x, p_retailprice AS y FROM part), u AS (SELECT *, {_unit('id')} AS u, {_unit("(id || ':distance')")} AS v FROM p)
+SELECT id, round(x + cos(u * 2 * pi()) * (8 + v * 18), 6) AS x, round(y + sin(u * 2 * pi()) * (8 + v * 18), 6) AS y FROM u"""
+)
+def jittered_seeds(spark, d):
+    p, _ = _ring(spark, d)
+    moved = timeline.jittered(p.select("id", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")))
+    return moved.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(

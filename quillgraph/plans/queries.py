@@ -578,17 +578,34 @@ def html_escaped(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.html_escape(F.col("text"))).alias("escaped"))
 
 
-_NEAT = r"regexp_replace(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), '[.…]+\s*$', '')"
+_NEAT = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '[.]+$', ''))"
 
 
 @query(
-    f"""SELECT item_id, len(n) >= 4 AND contains(body, n) AS hit FROM (
-  SELECT item_id, {_NEAT.format('text')} AS body, array_to_string((string_split({_NEAT.format('substr(text, 1 + item_id % 40)')}, ' '))[1:8], ' ') AS n FROM benchmark)"""
+    f"""SELECT item_id, len(body) >= 4 AND (contains(p, body) OR n <> '' AND contains(body, n)) AS hit FROM (SELECT *, array_to_string((string_split(p, ' '))[1:8], ' ') AS n FROM (
+  SELECT item_id, {_NEAT.format('substr(text, 1 + item_id % 7, 20 + item_id % 90)')} AS body, {_NEAT.format('substr(text, 1 + item_id % 40)')} AS p FROM benchmark))"""
 )
 def passage_hits(spark, d):
-    # benchmark passages as blocks; what is looked for begins somewhere in each, often within a word
-    at = (F.col("item_id") % 40 + 1).cast("int")
-    return table(spark, d, "benchmark").select("item_id", X.passage_hit(F.col("text"), F.substring(F.col("text"), at, F.length("text"))).alias("hit"))
+    # parts of benchmark passages as blocks; what is looked for begins somewhere in each, often within a word
+    i, text = F.col("item_id"), F.col("text")
+    block = F.substring(text, (i % 7 + 1).cast("int"), (i % 90 + 20).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", X.passage_hit(block, F.substring(text, (i % 40 + 1).cast("int"), F.length("text"))).alias("hit"))
+
+
+@query(
+    rf"""WITH b AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS block, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)),
+f AS (SELECT doc_id, block, {_NEAT.format('text')} AS form FROM b), p AS (SELECT doc_id, k AS passage, {_NEAT.format('substr(text, 1 + (doc_id * 37 + k * 211) % (len(text) + 1), 160 + 40 * k)')} AS p FROM documents, range(3) t(k)),
+n AS (SELECT *, array_to_string((string_split(p, ' '))[1:8], ' ') AS n FROM p)
+SELECT n.doc_id, n.passage::INTEGER AS passage, f.block::INTEGER AS block FROM n JOIN f ON f.doc_id = n.doc_id AND len(form) >= 4 AND (contains(p, form) OR n <> '' AND contains(form, n)) GROUP BY ALL"""
+)
+def passage_blocks(spark, d):
+    # sentences as blocks, three passages of each document, which begin anywhere and run over several blocks
+    docs = table(spark, d, "documents")
+    blocks = docs.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("block", "text"))
+    k = F.col("passage")
+    begin = (F.pmod(F.col("doc_id") * 37 + k * 211, F.length("text") + 1) + 1).cast("int")
+    passages = docs.withColumn("passage", F.explode(F.array(*(F.lit(n) for n in range(3))))).select("doc_id", "passage", F.substring(F.col("text"), begin, 160 + 40 * k).alias("text"))
+    return matching.passage_blocks(blocks, passages)
 
 
 @query("SELECT l_orderkey AS job_id, round(sum(l_quantity::BIGINT * 1000) / 60000.0::DOUBLE, 2) AS duration_min FROM lineitem GROUP BY 1")

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted, narrow table is broadcast.
@@ -45,6 +45,29 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_two(df: DataFrame, flag: Column) -> tuple[DataFrame | None, DataFrame | None]:
+    """df as written tables of the rows whose flag is true and of the others, by one job; None for one without rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillgraph-table-{uuid.uuid4().hex}"
+    df.withColumn("__flag", flag).write.partitionBy("__flag").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(folder)
+    parts = [f"{path}/__flag={value}" for value in ("true", "false")]
+    return tuple(spark.read.schema(df.schema).parquet(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) else None for p in parts)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes written() tables that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder = folder.getParent() if folder.getName().startswith("__flag=") else folder
+            if folder.getName().startswith("quillgraph-table-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def few(df: DataFrame) -> DataFrame:
     """A broadcast hint for a written table that was counted and is small; beyond that, none."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -35,7 +35,9 @@ def test_small_text_rules(spark):
     assert values(spark, X.title_tokens, "A red, red Fox", "") == [["a", "red", "fox"], []]
     assert values(spark, X.ws_trim, "  a b\t\n") == ["a b"]
     assert values(spark, X.html_escape, "a<b & c>") == ["a&lt;b &amp; c&gt;"]
-    assert values(spark, lambda c: X.passage_hit(F.lit("The end of it all. And more"), c), "the END of", "the", "nothing here") == [True, False, False]
+    assert values(spark, lambda c: X.passage_hit(F.lit("The end of it all. And more"), c), "the END of", "the", "nothing here", "so. The end of it all. And more...", "", "the end. ") == [True, True, False, True, False, False]
+    # dots go from the very end only, and short blocks never count
+    assert values(spark, lambda c: X.passage_hit(c, F.lit("abc. def ghi")), "abc.", "abc", "abc. d", "ABC. DEF GHI...") == [False, False, True, True]
 
 
 def test_hashes(spark):
@@ -307,7 +309,7 @@ def test_job_states(spark):
     folded = state.fold_log(log)
     assert {r["job_id"]: (r["status"], r["since"], r["entries"]) for r in folded.collect()} == {1: ("done", 3, 5), 2: ("queued", 1, 1), 3: ("running", 2, 2)}
     asked = spark.createDataFrame([(1,), (2,), (3,)], "job_id int")
-    assert {r["job_id"]: r["status"] for r in state.cancelled(folded, asked).collect()} == {1: "done", 3: "error"}
+    assert {r["job_id"]: (r["status"], r["error"]) for r in state.cancelled(folded, asked).collect()} == {1: ("done", None), 2: ("error", "cancelled"), 3: ("error", "cancelled")}
     assert {r["job_id"] for r in state.cleared(log).collect()} == {2, 3}
     files = spark.createDataFrame([("b--1.mp3",), ("a--b--1.mp3",), ("2.mp3",), ("3.wav",), ("x--2.mp3",)], "name string")
     assert {r["job_id"]: r["file"] for r in state.audio_files(folded, files).collect()} == {1: "a--b--1.mp3", 2: "x--2.mp3", 3: None}
