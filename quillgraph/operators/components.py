@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import few, written
+from ..storage import dropped, few, written
+
+#: Links that a task handles: rounds over few links don't pay for as many tasks as the whole input has.
+TASK_LINKS = 250_000
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
+    links = links.coalesce(tasks)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-    return written(both.join(few(least), "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).coalesce(tasks))
+    out = written(both.join(few(least), "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
+    dropped(least)
+    return out
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(down.groupBy("a").agg(F.min("b").alias("m")))
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
+    down = links.coalesce(tasks).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
     moved = down.join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return written(moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+    out = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().coalesce(tasks))
+    dropped(least)
+    return out
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +46,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not row[0] or tuple(row) == seen:
             break
-        seen = tuple(row)
-        now = _small_star(_large_star(now))
+        seen, tasks = tuple(row), math.ceil(row[0] / TASK_LINKS)
+        large = _large_star(now, tasks)
+        dropped(now)
+        now = _small_star(large, tasks)
+        dropped(large)
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

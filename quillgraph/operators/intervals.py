@@ -122,7 +122,7 @@ def common_ancestors(spans: DataFrame, pairs: DataFrame) -> DataFrame:
         left = apart.select(F.when(lower, F.col("a_above")).otherwise(F.col("a")).alias("a"), F.when(lower, F.col("b")).otherwise(F.col("b_above")).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _running(rows: DataFrame, n: Column) -> DataFrame:
+def running(rows: DataFrame, n: Column) -> DataFrame:
     """rows(enter, ...) with n and `upto`, the sum of n up to each place: sums within blocks of places, and of the blocks before."""
     own = written(rows.withColumn("n", n).withColumn("block", F.floor(F.col("enter") / BLOCK)).withColumn("upto", F.sum("n").over(Window.partitionBy("block").orderBy("enter").rowsBetween(Window.unboundedPreceding, 0))))
     # one row for BLOCK nodes
@@ -133,7 +133,7 @@ def _running(rows: DataFrame, n: Column) -> DataFrame:
 
 def subtree_sums(spans: DataFrame, values: DataFrame) -> DataFrame:
     """(enter, total): the sum of values(enter, n) over each subtree."""
-    running = written(_running(spans.select("enter", "size").join(values.withColumnRenamed("n", "v"), "enter", "left"), F.coalesce("v", F.lit(0))))
+    running = written(running(spans.select("enter", "size").join(values.withColumnRenamed("n", "v"), "enter", "left"), F.coalesce("v", F.lit(0))))
     last = running.select(F.col("enter").alias("last"), F.col("upto").alias("end"))
     return running.withColumn("last", F.col("enter") + F.col("size") - 1).join(last, "last").select("enter", (F.col("end") - F.col("upto") + F.col("n")).alias("total"))
 
@@ -164,6 +164,6 @@ def distinct_in_subtrees(spans: DataFrame, membership: DataFrame) -> DataFrame:
 
 def _in_one_tree(spans: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose two places lie in one tree; a tree's number is that of the roots up to a place."""
-    trees = written(_running(spans, F.when(F.col("depth") == 0, 1).otherwise(0)).select("enter", F.col("upto").alias("tree")))
+    trees = written(running(spans, F.when(F.col("depth") == 0, 1).otherwise(0)).select("enter", F.col("upto").alias("tree")))
     both = pairs.join(trees.select(F.col("enter").alias("a"), F.col("tree").alias("ta")), "a").join(trees.select(F.col("enter").alias("b"), F.col("tree").alias("tb")), "b")
     return both.filter("ta = tb").select("a", "b", "n")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import few, written
+from .intervals import indexed, running
+
 #: Order in which a job's states follow each other.
 STEPS = {"queued": 0, "running": 1, "done": 2, "error": 2}
 NO_TEXT = "no text found"
@@ -19,8 +22,11 @@ def accepted_writes(writes: DataFrame, resets: DataFrame) -> DataFrame:
     events = resets.select("store", F.col("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("write_id"))
     for kind, column in ((1, "claimed_at"), (2, "committed_at")):
         events = events.unionByName(writes.select("store", F.col(column).alias("at"), F.lit(kind).alias("kind"), F.col("write_id").cast("bigint").alias("write_id")))
-    order = Window.partitionBy("store").orderBy("at", "kind", "write_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = events.withColumn("generation", F.count_if(F.col("kind") == 0).over(order)).filter("kind > 0")
+    # numbers from range partitions and sums of blocks: no store's events meet in one task
+    ordered = written(indexed(events.withColumn("n", F.when(F.col("kind") == 0, 1).otherwise(0)), ["store", "at", "kind", "write_id"]).withColumnRenamed("index", "enter"))
+    counted = written(running(ordered, F.col("n")))
+    before = written(counted.groupBy(F.col("store").alias("__store")).agg(F.min(F.col("upto") - F.col("n")).alias("before")))
+    counted = counted.filter("kind > 0").join(few(before), F.col("store").eqNullSafe(F.col("__store"))).withColumn("generation", F.col("upto") - F.col("before"))
     both = counted.groupBy("store", "write_id").agg(F.max(F.when(F.col("kind") == 1, F.col("generation"))).alias("generation"), F.max(F.when(F.col("kind") == 2, F.col("generation"))).alias("last"))
     return both.select("store", "write_id", "generation", (F.col("generation") == F.col("last")).alias("accepted"))
 

@@ -115,10 +115,11 @@ def selection_order(spark, d):
 
 @query(f"WITH {_LIB} SELECT item_key, item_type, row_number() OVER (PARTITION BY item_type ORDER BY coalesce(year, ''), lower(coalesce(title, '')), item_key)::INTEGER AS place FROM lib")
 def listing_order(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("item_type").orderBy(*library.listing_order())
-    return library.library_items(**_library(spark, d)).select("item_key", "item_type", F.row_number().over(order).alias("place"))
+    # a type is ranked over range partitions, not in one task
+    items = library.library_items(**_library(spark, d)).withColumnRenamed("item_type", "type")
+    keyed = items.withColumn("first", F.coalesce("year", F.lit(""))).withColumn("second", F.lower(F.coalesce("title", F.lit(""))))
+    ranked = timeline.lane_indexes(keyed, ["first", "second", "item_key"])
+    return ranked.select("item_key", F.col("type").alias("item_type"), (F.col("index") + 1).cast("int").alias("place"))
 
 
 @query(f"WITH RECURSIVE {_COMPONENTS}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT component, size, (row_number() OVER (ORDER BY size DESC, component) - 1)::BIGINT AS place FROM s")

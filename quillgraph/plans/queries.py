@@ -677,9 +677,22 @@ def active_jobs(spark, d):
     return jobs.active_ids(I.jobs(spark, d).withColumn("kind", kind), "prefetch")
 
 
-@query(f"WITH {_JOBS} SELECT job_id, status, NULL::VARCHAR AS stage, NULL::VARCHAR AS progress, NULL::VARCHAR AS detail, NULL::VARCHAR AS error, NULL::VARCHAR AS result FROM jobs")
+@query(
+    """SELECT event_id AS job_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' ELSE 'queued' END AS status,
+  CASE event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'step ' || (event_id % 5) ELSE 'queued' END AS stage, CASE event_type WHEN 'purchase' THEN 100 WHEN 'click' THEN event_id % 100 ELSE 0 END::BIGINT AS progress,
+  CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'page ' || event_id END AS detail, CASE WHEN event_type = 'error' THEN 'failure ' || (event_id % 4) END AS error, NULL::VARCHAR AS result FROM events"""
+)
 def public_jobs(spark, d):
-    return jobs.public(I.jobs(spark, d))
+    # jobs as they are kept, with fields that aren't shown and without one that is
+    kind, n = F.col("event_type"), F.col("event_id")
+    extra = table(spark, d, "events").select(
+        n.alias("job_id"),
+        F.when(kind == "purchase", "done").when(kind == "click", F.concat(F.lit("step "), (n % 5).cast("string"))).otherwise("queued").alias("stage"),
+        F.when(kind == "purchase", 100).when(kind == "click", n % 100).otherwise(0).cast("bigint").alias("progress"),
+        F.when((kind == "click") & (n % 3 == 0), F.concat(F.lit("page "), n.cast("string"))).alias("detail"),
+        F.when(kind == "error", F.concat(F.lit("failure "), (n % 4).cast("string"))).alias("error"),
+    )
+    return jobs.public(I.jobs(spark, d).drop("error").join(extra, "job_id"))
 
 
 @query(f"WITH {_JOBS} SELECT job_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY mtime DESC, job_id)::INTEGER AS rank FROM jobs WHERE status IN ('done', 'error')")
