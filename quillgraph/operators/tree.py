@@ -101,6 +101,27 @@ def forest(nodes: DataFrame) -> DataFrame:
     return found.select("id", "parent", "name", (F.size("names") - 1).alias("depth"), path.alias("path"), F.reverse("keys").alias("sort_path"))
 
 
+def nested(nodes: DataFrame) -> DataFrame:
+    """(id, name, tree): each root of nodes(id, parent, name) with its tree as one JSON value {"id", "name", "children"}.
+
+    Children stand in the order of lower-cased names and ids. Levels are assembled from the lowest up: each
+    row of a level joins its parent once, as text. A value is as large as its tree.
+    """
+    rows = written(forest(nodes).select("id", "parent", "name", "depth"))
+    deepest = rows.agg(F.max("depth").alias("d")).first()["d"]
+    lists = None
+    for level in range(deepest or 0, -1, -1):
+        own = rows.filter(F.col("depth") == level)
+        own = own.withColumn("inner", F.lit("")) if lists is None else own.join(lists.withColumnRenamed("parent", "id"), "id", "left")
+        # the object without its last brace, then the children
+        head = F.regexp_replace(F.to_json(F.struct("id", F.coalesce("name", F.lit("")).alias("name"))), r"\}\z", "")
+        own = own.withColumn("tree", F.concat(head, F.lit(',"children":['), F.coalesce("inner", F.lit("")), F.lit("]}")))
+        if level == 0:
+            return own.select("id", "name", "tree")
+        ordered = F.array_sort(F.collect_list(F.struct(F.lower(F.coalesce("name", F.lit(""))).alias("k"), "id", "tree")))
+        lists = written(own.groupBy("parent").agg(F.array_join(F.transform(ordered, lambda x: x["tree"]), ",").alias("inner")))
+
+
 def subtree_item_counts(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """(id, item_count): distinct items of each collection's subtree, 0 without any. membership(id, item_key).
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import matching
-from ..sources import lookups
+from ..operators import matching, tree
+from ..sources import lookups, variants
 from ..sources.tables import table
 from ..storage import new_store
 from ..streaming import machine
@@ -189,3 +189,45 @@ def typed_titles(spark, d):
     )
     queries = c.withColumn("p_partkey", key * 7 % F.col("n")).join(p, "p_partkey").select(key.alias("query_id"), typed.alias("query"))
     return matching.resolve_titles(queries, p.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")))
+
+
+@query(
+    """SELECT r_regionkey::BIGINT AS id, '{"id":' || r_regionkey || ',"name":"' || r_name || '","children":[' || coalesce(string_agg('{"id":' || (n_nationkey + 1000) || ',"name":"' || n_name || '","children":[]}', ',' ORDER BY lower(n_name), n_nationkey), '') || ']}' AS tree
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""
+)
+def nested_collections(spark, d):
+    return tree.nested(I.collections(spark, d)).select("id", "tree")
+
+
+@query(
+    """WITH RECURSIVE k AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey > 0 THEN floor((p_partkey - 1) / 2)::BIGINT END AS parent FROM part),
+t AS (SELECT id, name, parent, 0 AS depth FROM k WHERE parent IS NULL UNION ALL SELECT k.id, k.name, k.parent, t.depth + 1 FROM k JOIN t ON k.parent = t.id),
+o AS (SELECT count(*) AS nodes, sum(length('{"id":' || id || ',"name":"' || name || '","children":[]}')) AS own, sum(CASE WHEN depth > 0 THEN 1 ELSE 0 END) AS inner_nodes, count(DISTINCT parent) AS parents FROM t)
+SELECT 0::BIGINT AS id, (own + inner_nodes - parents)::BIGINT AS length, nodes FROM o"""
+)
+def deep_nested_tree(spark, d):
+    # one value for the whole tree of parts: its length is that of its objects and the commas between siblings
+    found = tree.nested(I.deep_tree(spark, d))
+    return found.select("id", F.length("tree").cast("bigint").alias("length"), F.size(F.regexp_extract_all("tree", F.lit('"children"'), F.lit(0))).cast("bigint").alias("nodes"))
+
+
+@query(
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ref_pos FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT 'o' || l_orderkey AS item_key, ref_pos::INTEGER AS ref_pos, CASE WHEN p_size % 3 = 0 AND l_suppkey % 10 = 0 THEN NULL ELSE 'w' || l_partkey END AS id, p_size % 3 <> 0 AND p_size > 40 AS bare,
+  CASE WHEN p_size % 3 = 0 THEN NULLIF(p_name, '') WHEN p_size <= 40 THEN 'found ' || p_name END AS title, CASE WHEN p_size % 3 = 0 THEN 'Venue ' || (l_partkey % 7) END AS venue, 'kept ' || (l_orderkey % 5) AS note FROM l"""
+)
+def cache_round_trip(spark, d):
+    # bare ids, and objects with a field that nobody knows; read, looked up, written and read again
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    known = F.col("p_size") % 3 == 0
+    whole = F.to_json(F.struct(F.when(F.col("l_suppkey") % 10 != 0, I.work()).alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("Venue "), (F.col("l_partkey") % 7).cast("string")).alias("venue")))
+    raw = F.when(known, whole).otherwise(F.concat(F.lit('"'), I.work(), F.lit('"')))
+    lists = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", raw.alias("raw")))), lambda e: e["raw"]), ",").alias("refs"))
+    text = F.concat(F.lit('{"item_key":"o'), F.col("l_orderkey").cast("string"), F.lit('","note":"kept '), (F.col("l_orderkey") % 5).cast("string"), F.lit('","references":['), F.col("refs"), F.lit("]}"))
+    root = new_store(spark)
+    lists.select(text.alias("value")).write.text(f"{root}/first")
+    works = table(spark, d, "part").filter("p_size <= 40").select(I.work("p_partkey").alias("id"), F.concat(F.lit("found "), F.col("p_name")).alias("title"))
+    variants.write_lines(variants.resolved(variants.read_lines(spark, f"{root}/first"), works), f"{root}/second")
+    again = variants.read_lines(spark, f"{root}/second")
+    notes = again.select("item_key", F.try_variant_get("record", "$.note", "string").alias("note"))
+    return variants.entries(again).select("item_key", "ref_pos", "id", "bare", "title", F.try_variant_get("entry", "$.venue", "string").alias("venue")).join(notes, "item_key")
