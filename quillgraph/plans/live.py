@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import matching, tree
-from ..sources import lookups, variants
+from ..sources import lookups, snapshots, variants
 from ..sources.tables import table
 from ..storage import new_store
 from ..streaming import machine
@@ -231,3 +231,26 @@ def cache_round_trip(spark, d):
     again = variants.read_lines(spark, f"{root}/second")
     notes = again.select("item_key", F.try_variant_get("record", "$.note", "string").alias("note"))
     return variants.entries(again).select("item_key", "ref_pos", "id", "bare", "title", F.try_variant_get("entry", "$.venue", "string").alias("venue")).join(notes, "item_key")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT c_nationkey AS n, o_orderkey, o_orderstatus AS s FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT 0 AS version, n::BIGINT AS nation, count(*) AS records, count(*) FILTER (s = 'F') AS mapped FROM c GROUP BY n
+UNION ALL SELECT 1, n::BIGINT, count(*), count(*) FILTER (s = 'F') FROM c WHERE o_orderkey % 3 <> 0 GROUP BY n"""
+)
+def snapshot_reports(spark, d):
+    # records and their places under one manifest; a prune with an empty library changes nothing, one with a real one makes a version
+    root = new_store(spark)
+    place = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("nation"))
+    places = table(spark, d, "orders").join(place, "o_custkey").select(I.paper().alias("item_key"), "nation")
+    snapshots.commit(spark, root, {"records": I.records(spark, d), "places": places}, [f"{d}/orders.parquet"])
+
+    def report(tables):
+        joined = tables["records"].join(tables["places"], "item_key")
+        return joined.groupBy("nation").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("status") == "mapped").alias("mapped"))
+
+    live = table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(I.paper().alias("item_key"))
+    snapshots.prune(spark, root, "records", live.limit(0))
+    snapshots.prune(spark, root, "records", live)
+    both = [snapshots.derived(spark, root, "report", report, v).withColumn("version", F.lit(v)) for v in snapshots.versions(spark, root)]
+    return both[0].unionByName(both[1])
