@@ -26,8 +26,6 @@ from .licenses import TEMPLATES
 #: Fixed by contract: phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Every template's key phrases hold one of these.
-GATES = ("licens", "permission", "redistribut", "unencumbered", "warranty")
 #: Words of a template, the rarest of the table, that are its anchors.
 ANCHORS = 8
 #: Share of a template's anchor weight that must agree on one place.
@@ -53,6 +51,32 @@ def anchors(templates, frequencies: dict[str, int], n: int) -> list[tuple[int, s
     return out
 
 
+def gates(groups: list[list[str]]) -> list[str] | None:
+    """Few words of which each group of words has one, so that a text with none of them holds no group; None if a group is empty.
+
+    They are sought among each group's longest words, for long words are seldom in other texts.
+    """
+    left, out = [set(sorted(set(g), key=lambda w: (-len(w), w))[:4]) for g in groups], []
+    if not all(left):
+        return None
+    while left:
+        counts: dict[str, int] = {}
+        for group in left:
+            for w in group:
+                counts[w] = counts.get(w, 0) + 1
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        out.append(best)
+        left = [g for g in left if best not in g]
+    return out
+
+
+def _any_of(s: Column, words: list[str] | None) -> Column:
+    found = F.lit(words is None)
+    for word in words or []:
+        found = found | s.contains(word)
+    return found
+
+
 def _spaced(phrase: str) -> str:
     return " " + "  ".join(phrase.split()) + " "
 
@@ -82,27 +106,27 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", base: dict[st
     rows = rows.select("id", F.when(F.length("s") > 0, F.concat(F.lit(" "), "s", F.lit(" "))).otherwise(F.lit("")).alias("s"))
     s = F.col("s")
     n_words = _n_words(s)
-    licensed = s.contains("licens")
+    # only texts with a word that each phrase, or each template, needs are looked at closely
+    worth = _any_of(s, gates([p.split() for p in base]))
     count, first, last, labels = F.lit(0), [], [], []
     for phrase, label in base.items():
         spaced = _spaced(phrase)
-        n = F.when(licensed, ((F.length(s) - F.length(F.replace(s, F.lit(spaced), F.lit("")))) / len(spaced)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        n = F.when(worth, ((F.length(s) - F.length(F.replace(s, F.lit(spaced), F.lit("")))) / len(spaced)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         count = count + n
         first.append(F.when(n > 0, _n_words(F.substring(s, F.lit(1), F.instr(s, spaced) - 1))))
         last.append(F.when(n > 0, n_words - _n_words(F.substring_index(s, spaced, -1)) - len(phrase.split())))
         labels.append(F.when(n > 0, F.lit(label)))
-    gate = licensed
-    for word in GATES[1:]:
-        gate = gate | s.contains(word)
+    gate = _any_of(s, gates([[w for p in phrases for w in p.split()] for _, _, phrases in templates]))
+    among = lambda columns, of: of(*columns) if len(columns) > 1 else columns[0] if columns else F.lit(None).cast("bigint")
     scanned = saved(
         rows.select(
             F.monotonically_increasing_id().alias("row"),
             "id",
             n_words.alias("n_words"),
             count.cast("bigint").alias("n_base"),
-            F.least(*first).alias("first_word"),
-            F.greatest(*last).alias("last_word"),
-            F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
+            among(first, F.least).alias("first_word"),
+            among(last, F.greatest).alias("last_word"),
+            F.array_sort(F.array_compact(F.array(*labels, F.lit(None).cast("string")))).alias("base"),
             F.array_intersect(F.split(F.trim("s"), "  "), F.array(*(F.lit(w) for w in vocabulary))).alias("known"),
             F.when(gate, s).alias("s"),
         )

@@ -516,9 +516,22 @@ def test_license_scan(spark):
     assert found[1]["labels"] == "cc-by-nc-4.0" and found[4]["n_words"] == 0
 
 
+def test_license_scan_of_other_phrases_and_templates(spark):
+    texts = ["foo bar and zip zap", "Foo, bar! foo bar", "quite other words that stand here in a row", "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    row = "quite other words that stand here in a row"
+    own = [("own", row, ["other words"]), ("keyless", "nothing", [])]
+    found = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in license_scan.scan(docs, base={"foo bar": "fb", "zip zap": "zz"}, templates=own).collect()}
+    assert found == {0: (2, 0, 3, "fb,zz"), 1: (2, 0, 2, "fb"), 2: (0, None, None, "own"), 3: (0, None, None, "keyless"), 4: (0, None, None, "")}
+    one = {r["doc_id"]: r["n_base"] for r in license_scan.scan(docs, base={"foo bar": "fb"}).collect()}
+    assert one == {0: 1, 1: 2, 2: 0, 3: 0, 4: 0} and license_scan.scan(docs, base={}).agg(F.sum("n_base")).first()[0] == 0
+    assert license_scan.gates([["a", "license"], ["mit", "license"], ["warranty"]]) == ["license", "warranty"] and license_scan.gates([[]]) is None
+
+
 def test_license_scan_of_whole_texts(spark):
     templates = [(label, " ".join(text.split()), keys) for label, text, keys in license_scan.TEMPLATES]
-    assert all(any(g in key for key in keys for g in license_scan.GATES) for _, _, keys in templates)
+    gates = license_scan.gates([[w for key in keys for w in key.split()] for _, _, keys in templates])
+    assert all(any(g in key for key in keys for g in gates) for _, _, keys in templates)
     bsd = next(t for label, t, _ in templates if label == "bsd-2-clause")
     whole = [t if label != "bsd-3-clause" else bsd[: bsd.index("THIS SOFTWARE")] + t for label, t, _ in templates]
     every = "\n".join(whole)
