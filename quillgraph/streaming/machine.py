@@ -19,8 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -88,10 +87,6 @@ class Job:
 _FIELDS = "status string, stage string, progress int, error string, since bigint, heard bigint, generation bigint, asked boolean, entries bigint"
 
 
-def _micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
-
-
 class JobMachine(StatefulProcessor):
     """Keeps a Job for each key; gives its row whenever entries or a timer have changed it."""
 
@@ -102,36 +97,31 @@ class JobMachine(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", _FIELDS)
 
-    def _row(self, key: Any, job: Job) -> pd.DataFrame:
-        since, heard = (pd.Series([t], dtype="Int64").astype("datetime64[us]") if t is not None else pd.Series([pd.NaT], dtype="datetime64[us]") for t in (job.since, job.heard))
-        return pd.DataFrame({"job_id": [key[0]], "status": [job.status], "stage": [job.stage], "progress": pd.array([job.progress], "Int32"), "error": [job.error], "since": since, "heard": heard, "entries": [job.entries]})
+    def _timer(self, job: Job) -> int:
+        """Fires at the first watermark after this millisecond."""
+        return (job.heard + self.patience) // 1000 + 1
 
-    def _keep(self, job: Job) -> None:
+    def _keep(self, key: Any, before: Job, job: Job) -> Row:
         self.state.update((job.status, job.stage, job.progress, job.error, job.since, job.heard, job.generation, job.asked, job.entries))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if job.status == "running":
-            # fires at the first watermark after that millisecond
-            self.handle.registerTimer((job.heard + self.patience) // 1000 + 1)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        job = Job(*self.state.get()) if self.state.exists() else Job()
+        old, new = (self._timer(j) if j.status == "running" else None for j in (before, job))
+        if old != new and old is not None:
+            self.handle.deleteTimer(old)
+        if old != new and new is not None:
+            self.handle.registerTimer(new)
+        return Row(job_id=key[0], status=job.status, stage=job.stage, progress=job.progress, error=job.error, since=job.since, heard=job.heard, entries=job.entries)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        before = job = Job(*self.state.get()) if self.state.exists() else Job()
         # the entries of one job in one batch
-        log = pd.concat(list(rows), ignore_index=True)
-        log = log.assign(__place=log["kind"].map(_ORDER)).sort_values(["at", "__place"], kind="stable").astype(object)
-        log = log.where(log.notna(), None)
-        for at, (_, row) in zip(_micros(pd.to_datetime(log["at"])), log.iterrows(), strict=True):
-            number = lambda v: None if v is None else int(v)
-            job = job.after(row["kind"], at, number(row["generation"]), row["stage"], number(row["progress"]), row["detail"], self.patience)
-        self._keep(job)
-        yield self._row(key, job)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for r in sorted(rows, key=lambda r: (r.micros, _ORDER[r.kind])):
+            job = job.after(r.kind, r.micros, r.generation, r.stage, r.progress, r.detail, self.patience)
+        yield self._keep(key, before, job)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         job = Job(*self.state.get())
-        if job.status == "running" and expiredTimerInfo.getExpiryTimeInMs() > (job.heard + self.patience) // 1000:
-            job = job.failed(INTERRUPTED, job.heard + self.patience)
-            self._keep(job)
-            yield self._row(key, job)
+        if job.status == "running" and expiredTimerInfo.getExpiryTimeInMs() >= self._timer(job):
+            ended = job.failed(INTERRUPTED, job.heard + self.patience)
+            yield self._keep(key, job, ended)
 
     def close(self) -> None:
         pass
@@ -140,7 +130,10 @@ class JobMachine(StatefulProcessor):
 def job_states(log: DataFrame, patience_hours: float, late: str = "0 seconds") -> DataFrame:
     """A streaming frame of a streaming log: rows of STATES, each replacing earlier ones of its job."""
     machine = JobMachine(int(patience_hours * 3_600_000_000))
-    return log.withWatermark("at", late).groupBy("job_id").transformWithStateInPandas(machine, STATES, "Update", "EventTime")
+    # times go in and out as microseconds, which no time zone touches
+    timed = log.withWatermark("at", late).withColumn("micros", F.unix_micros("at"))
+    rows = timed.groupBy("job_id").transformWithState(machine, STATES.replace("timestamp", "bigint"), "Update", "EventTime")
+    return rows.withColumn("since", F.timestamp_micros("since")).withColumn("heard", F.timestamp_micros("heard"))
 
 
 def follow(spark: SparkSession, log: DataFrame, states: str, checkpoint: str, patience_hours: float):
