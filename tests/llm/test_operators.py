@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
-from helpers import DATA
+from helpers import DATA, duck
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common, exact_dedup, fingerprints, html_extract, license_scan, mixing, near_dedup, packing, token_counts, toxicity, url_filter, words
@@ -610,4 +610,35 @@ def test_pipeline(spark):
     assert sorted(left[1].doc_id) == sorted(max(g) for g in groups.values())
     _, wanted = plain_components(dict(zip(left[1].doc_id, left[1].text, strict=True)), 5, 80)
     assert sorted(left[2].doc_id) == sorted(i for i, c in wanted.items() if i == c)
-    assert isinstance(pd.DataFrame(left[3]), pd.DataFrame) and len(left[3])
+    # mixing: each document as often as the SQL of the contract takes its words
+    taken = duck(mixing.SQL, documents=left[2])
+    often = Counter(left[3].doc_id)
+    assert {i: often[i] * n for i, n in zip(taken.doc_id, taken["size"], strict=True)} == dict(zip(taken.doc_id, taken.taken, strict=True)) and set(often) <= set(taken.doc_id)
+    # all stages at once give the same pieces, whatever the sequences' numbers
+    pieces = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = corpus_pipeline.run(spark, data).toPandas()
+    assert sorted(map(tuple, whole[pieces].to_numpy().tolist())) == sorted(map(tuple, left[4][pieces].to_numpy().tolist()))
+    ends = whole.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert all(g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= packing.SEQUENCE for _, g in ends)
+
+
+@pytest.mark.parametrize("places", [1, 3, 16])
+def test_packer_equals_plain_best_fit(places):
+    """Bins in a list, each with its free space and when it got it; the fullest fitting one is taken, the last of equals."""
+    random.seed(places)
+    packer, bins, made = packing.Packer(100, places), [], 0
+    for step in range(3000):
+        length = random.choice([random.randint(1, 100), random.randint(1, 20), 100])
+        fits = [b for b in bins if b[0] >= length]
+        if fits:
+            chosen = min(fits, key=lambda b: (b[0], -b[1]))
+            bins.remove(chosen)
+        else:
+            if len(bins) == places:
+                bins.remove(min(bins, key=lambda b: (b[0], -b[1])))
+            chosen, made = (100, 0, made), made + 1
+        free = chosen[0] - length
+        assert packer.put(length) == (chosen[2], 100 - chosen[0])
+        if free:
+            bins.append((free, step, chosen[2]))
+    assert packer.left_open() == {b[2]: b[0] for b in bins}
