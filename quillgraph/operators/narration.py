@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from ..functions import text as X
 from ..storage import ship
 
 CHUNK_CHARS = 3500
-SEPARATORS = (". ", "? ", "! ", " ")
+#: Marks that end a sentence before a space, the preferred first; else a part ends at a space.
+SENTENCE_ENDS = ".?!"
 PASSED = "OK"
 
 
@@ -38,20 +41,35 @@ def document_texts(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text")).select("doc_id", X.strip_bibliography(F.col("text")).alias("text"))
 
 
+def _places(flat: str) -> list[tuple[np.ndarray, int]]:
+    """Where each kind of separator stands, the kinds that are preferred first, and how many characters it has."""
+    code = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    blank = code == ord(" ")
+    ends = [(np.flatnonzero((code[:-1] == ord(mark)) & blank[1:]), 2) for mark in SENTENCE_ENDS]
+    return [*ends, (np.flatnonzero(blank), 1)]
+
+
+def _last_within(places: np.ndarray, low: int, high: int) -> int | None:
+    """The last of ascending places from low to high."""
+    k = int(np.searchsorted(places, high, side="right")) - 1
+    return int(places[k]) if k >= 0 and places[k] >= low else None
+
+
 def chunk(text: str | None, size: int = CHUNK_CHARS) -> list[str]:
-    """Cuts a text behind the last sentence end (else space) of each window of `size` characters."""
+    """Cuts a text into parts of at most `size` characters, white space collapsed.
+
+    All separators are found once. A part ends behind the last separator, of the best kind that has one,
+    among the `size` characters from its begin on; where that is its first character, or there is none, it
+    is `size` long.
+    """
     flat = re.sub(r"\s+", " ", text or "").strip()
-    out, at = [], 0
-    while at < len(flat):
-        stop = min(at + size, len(flat))
-        if stop < len(flat):
-            found = next((p for p in (flat.rfind(s, at, stop) for s in SEPARATORS) if p != -1), -1)
-            if found > at:
-                stop = found + 1
-        if part := flat[at:stop].strip():
-            out.append(part)
-        at = stop
-    return out
+    kinds, begins = _places(flat), [0]
+    while (edge := begins[-1] + size) < len(flat):
+        last = (_last_within(places, begins[-1], edge - width) for places, width in kinds)
+        best = next((p for p in last if p is not None), begins[-1])
+        begins.append(best + 1 if best > begins[-1] else edge)
+    parts = (flat[a:b].strip() for a, b in pairwise([*begins, len(flat)]))
+    return [p for p in parts if p]
 
 
 def chunks(docs: DataFrame, size: int = CHUNK_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
