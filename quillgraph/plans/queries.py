@@ -593,19 +593,21 @@ def passage_hits(spark, d):
 
 
 @query(
-    rf"""WITH b AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS block, unnest(parts) AS text FROM (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)),
-f AS (SELECT doc_id, block, {_NEAT.format('text')} AS form FROM b), p AS (SELECT doc_id, k AS passage, {_NEAT.format('substr(text, 1 + (doc_id * 37 + k * 211) % (len(text) + 1), 160 + 40 * k)')} AS p FROM documents, range(3) t(k)),
+    rf"""WITH b AS (SELECT item_id, generate_subscripts(parts, 1) - 1 AS block, unnest(parts) AS text FROM (SELECT item_id, string_split(text, ' ') AS words, list_transform(range(0, len(words), 5), lambda i: array_to_string(words[i + 1:i + 5], ' ')) AS parts FROM benchmark)),
+f AS (SELECT item_id, block, {_NEAT.format('text')} AS form FROM b), p AS (SELECT item_id, k AS passage, {_NEAT.format('substr(text, 1 + (item_id * 37 + k * 211) % (len(text) + 1), 60 + 40 * k)')} AS p FROM benchmark, range(3) t(k)),
 n AS (SELECT *, array_to_string((string_split(p, ' '))[1:8], ' ') AS n FROM p)
-SELECT n.doc_id, n.passage::INTEGER AS passage, f.block::INTEGER AS block FROM n JOIN f ON f.doc_id = n.doc_id AND len(form) >= 4 AND (contains(p, form) OR n <> '' AND contains(form, n)) GROUP BY ALL"""
+SELECT n.item_id, n.passage::INTEGER AS passage, f.block::INTEGER AS block FROM n JOIN f ON f.item_id = n.item_id AND len(form) >= 4 AND (contains(p, form) OR n <> '' AND contains(form, n)) GROUP BY ALL"""
 )
 def passage_blocks(spark, d):
-    # sentences as blocks, three passages of each document, which begin anywhere and run over several blocks
-    docs = table(spark, d, "documents")
-    blocks = docs.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("block", "text"))
+    # five words as a block, three passages of each text, which begin anywhere and run over several blocks
+    texts = table(spark, d, "benchmark")
+    words = F.split("text", " ")
+    cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(5)), lambda i: F.array_join(F.slice(words, i + 1, 5), " "))
+    blocks = texts.select("item_id", F.posexplode(cut).alias("block", "text"))
     k = F.col("passage")
-    begin = (F.pmod(F.col("doc_id") * 37 + k * 211, F.length("text") + 1) + 1).cast("int")
-    passages = docs.withColumn("passage", F.explode(F.array(*(F.lit(n) for n in range(3))))).select("doc_id", "passage", F.substring(F.col("text"), begin, 160 + 40 * k).alias("text"))
-    return matching.passage_blocks(blocks, passages)
+    begin = (F.pmod(F.col("item_id") * 37 + k * 211, F.length("text") + 1) + 1).cast("int")
+    passages = texts.withColumn("passage", F.explode(F.array(*(F.lit(n) for n in range(3))))).select("item_id", "passage", F.substring(F.col("text"), begin, 60 + 40 * k).alias("text"))
+    return matching.passage_blocks(blocks, passages, "item_id")
 
 
 @query("SELECT l_orderkey AS job_id, round(sum(l_quantity::BIGINT * 1000) / 60000.0::DOUBLE, 2) AS duration_min FROM lineitem GROUP BY 1")
