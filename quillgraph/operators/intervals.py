@@ -133,9 +133,9 @@ def running(rows: DataFrame, n: Column) -> DataFrame:
 
 def subtree_sums(spans: DataFrame, values: DataFrame) -> DataFrame:
     """(enter, total): the sum of values(enter, n) over each subtree."""
-    running = written(running(spans.select("enter", "size").join(values.withColumnRenamed("n", "v"), "enter", "left"), F.coalesce("v", F.lit(0))))
-    last = running.select(F.col("enter").alias("last"), F.col("upto").alias("end"))
-    return running.withColumn("last", F.col("enter") + F.col("size") - 1).join(last, "last").select("enter", (F.col("end") - F.col("upto") + F.col("n")).alias("total"))
+    sums = written(running(spans.select("enter", "size").join(values.withColumnRenamed("n", "v"), "enter", "left"), F.coalesce("v", F.lit(0))))
+    last = sums.select(F.col("enter").alias("last"), F.col("upto").alias("end"))
+    return sums.withColumn("last", F.col("enter") + F.col("size") - 1).join(last, "last").select("enter", (F.col("end") - F.col("upto") + F.col("n")).alias("total"))
 
 
 def within(spans: DataFrame, start: DataFrame) -> DataFrame:
