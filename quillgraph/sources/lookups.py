@@ -17,6 +17,7 @@ import json
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -74,27 +75,51 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
 
 
+#: Rows, and bytes of a column, that a reader holds.
+ROWS, COLUMN_BYTES = 512, 1 << 20
+
+
 def _rows(path: str) -> Iterator[dict]:
-    """The rows of a folder of Parquet files, a batch at a time."""
+    """The rows of a folder of Parquet files, a small batch at a time, for a page has many ids."""
     fs, folder = _store(path)
     if fs.get_file_info(folder).type != pafs.FileType.Directory:
         return
     for info in sorted(fs.get_file_info(pafs.FileSelector(folder)), key=lambda x: x.path):
         if info.base_name.endswith(".parquet"):
             with fs.open_input_file(info.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches():
+                for batch in pq.ParquetFile(f, buffer_size=COLUMN_BYTES).iter_batches(batch_size=ROWS):
                     yield from batch.to_pylist()
 
 
 class Recording:
-    """A service that answers from one part of a recording."""
+    """A service that answers from one part of a recording, of which it holds the pages of one request.
+
+    A part is in the order of requests, and so are the questions; what is asked out of order is looked for
+    from the beginning.
+    """
 
     def __init__(self, path: str, part: int):
-        self.pages = {(p["request"], p["cursor"]): p for p in _rows(f"{path}/pages/part={part}")}
+        self.path = f"{path}/pages/part={part}"
+        self._begin()
+
+    def _begin(self) -> None:
+        self.request, self.pages = None, {}
+        self.groups = groupby((p for p in _rows(self.path) if p["request"] is not None), key=lambda p: p["request"])
+        self.ahead = next(self.groups, None)
+
+    def _seek(self, request: str) -> None:
+        """Takes the pages of a request, none if the part has none."""
+        if self.request is not None and request < self.request:
+            self._begin()
+        while self.ahead and self.ahead[0] < request:
+            self.ahead = next(self.groups, None)
+        self.request, self.pages = request, {p["cursor"]: p for p in self.ahead[1]} if self.ahead and self.ahead[0] == request else {}
 
     def get(self, request: str, cursor: str, attempt: int) -> tuple[int, dict | None, float | None]:
         """Status, page, and the pause that the service asks for."""
-        page = self.pages.get((request, cursor))
+        if request != self.request:
+            self._seek(request)
+        page = self.pages.get(cursor)
         if page is None:
             return 404, None, None
         if attempt < page["fails"]:
@@ -194,13 +219,13 @@ def recorded_parts(path: str) -> int:
 def record(requests: DataFrame, pages: DataFrame, path: str, parts: int) -> None:
     """Adds requests(request) and the pages (columns of PAGES) that answer them to a recording, as so many parts more.
 
-    A part is what one task holds: choose so many that the pages of one fit into its memory. Readers see
-    the new parts when all is written.
+    A part is what one task walks. It is written in the order of requests, so that a reader holds the pages
+    of one request, whatever the size of a part. Readers see the new parts when all is written.
     """
     first = recorded_parts(path)
     part = (F.lit(first) + F.pmod(F.xxhash64("request"), F.lit(parts))).cast("int").alias("part")
     for name, rows in (("requests", requests.select("request").distinct()), ("pages", pages)):
-        rows.select("*", part).repartition("part").write.mode("append").partitionBy("part").parquet(f"{path}/{name}")
+        rows.select("*", part).repartition("part").sortWithinPartitions("part", "request").write.mode("append").partitionBy("part").parquet(f"{path}/{name}")
     fs, folder = _store(path)
     with fs.open_output_stream(f"{folder}/parts.json") as f:
         f.write(json.dumps({"parts": first + parts}).encode())

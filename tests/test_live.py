@@ -239,6 +239,17 @@ def test_paged_stream_asks_for_nothing_twice(spark, tmp_path):
     assert json.loads((tmp_path / "r" / "parts.json").read_text()) == {"parts": 6}
 
 
+def test_a_reader_holds_the_pages_of_one_request(spark, tmp_path, monkeypatch):
+    requests, pages, wanted = _recording(spark, range(40))
+    lookups.record(requests, pages, str(tmp_path / "r"), 1)
+    monkeypatch.setattr(lookups, "ROWS", 2)
+    service, most = lookups.Recording(str(tmp_path / "r"), 0), 0
+    for r in [*sorted(wanted), "r0", "none", "r1"]:  # the last three out of order
+        assert list(lookups.walk(service, r, 30, lambda s: None)) == wanted.get(r, [])
+        most = max(most, len(service.pages))
+    assert 1 < most == pages.groupBy("request").count().agg(F.max("count")).first()[0]
+
+
 def test_batches_of_fifty(spark):
     refs = spark.createDataFrame([("a", p, f"w{p % 120}") for p in range(240)] + [("a", 500, ""), ("b", 0, "w1"), ("b", 1, "none")], "item_key string, ref_pos int, id string")
     works = spark.createDataFrame([(f"w{i}", f"T{i}") for i in range(120)], "id string, title string")
