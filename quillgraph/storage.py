@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +76,25 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Bytes that a task reads of a shuffle within dealt(), and twice as many of files; narrow rows are several times as large in memory.
+TASK_BYTES = 8 << 20
+
+
+@contextmanager
+def dealt(spark: SparkSession, tasks: float) -> Iterator[None]:
+    """What is written inside is shuffled over at least so many partitions, of bounded size; adaptive execution still joins small ones and splits skewed ones."""
+    partitions = max(math.ceil(tasks), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    inside = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES, "spark.sql.files.maxPartitionBytes": 2 * TASK_BYTES}
+    kept = {key: spark.conf.get(key, None) for key in inside}
+    for key, value in inside.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 

@@ -153,6 +153,16 @@ def test_long_chain_of_links(spark):
     assert components.connected_components(nodes, edges).select("component").distinct().collect()[0][0] == 0
 
 
+def test_rounds_of_components_are_dealt_by_their_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_LINKS", 10)
+    used, plain = [], components.written
+    conf = lambda: spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(components, "written", lambda df: used.append(conf()) or plain(df))
+    before = conf()
+    test_long_chain_of_links(spark)
+    assert set(used) == {"30"} and conf() == before
+
+
 def test_years(spark):
     rows = spark.createDataFrame([("a", "owned", "2010", None), ("b", "owned", "", "2011-02-01"), ("w", "external", "2012", None), ("x", "external", None, "2009-12-31"), ("y", "external", "0", None), ("z", "owned", "n/a", "soon")], "id string, type string, year string, date string")
     edges = spark.createDataFrame([("a", "w"), ("a", "x"), ("b", "x")], "source string, target string")
