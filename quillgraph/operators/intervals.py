@@ -21,6 +21,8 @@ from ..storage import dropped, written, written_in_two
 TASK_ROWS = 500_000
 #: Places whose running sum is made in one group.
 BLOCK = 1 << 16
+#: Places whose minima are one array, and arrays up to which they are broadcast (8 MB).
+SPAN, SMALL_BLOCKS = 256, 4096
 
 
 def indexed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -34,7 +36,7 @@ def indexed(rows: DataFrame, by: list[str]) -> DataFrame:
     return spread.join(F.broadcast(before), part == F.col("__part")).withColumn("index", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
 
-def _doubled(start: DataFrame, key: str, following: str, sums: list[str], rounds: int, tasks: int) -> tuple[DataFrame, list[DataFrame]]:
+def doubled(start: DataFrame, key: str, following: str, sums: list[str], rounds: int, tasks: int) -> tuple[DataFrame, list[DataFrame]]:
     """The rows of start(key, following, sums) that reach the end of their list, with sums added up to it, and the tables that hold them.
 
     A round is one job: it writes the rows that have arrived beside those that go on. The former are
@@ -75,7 +77,7 @@ def intervals(nodes: DataFrame) -> DataFrame:
     up = F.struct((2 * F.col("index") + 1).alias("step"), F.when(sibling, 2 * F.col("index") + 2).otherwise(2 * F.col("up_index") + 1).alias("following"), F.lit(0).cast("bigint").alias("downs"), F.lit(-1).cast("bigint").alias("net"))
     steps = rows.select(F.explode(F.array(down, up)).alias("s")).select("s.*")
     # a longer list than all steps doesn't end
-    done, tables = _doubled(steps, "step", "following", ["downs", "net"], math.ceil(math.log2(2 * count + 2)) + 2, tasks)
+    done, tables = doubled(steps, "step", "following", ["downs", "net"], math.ceil(math.log2(2 * count + 2)) + 2, tasks)
     # what lies between a node's two steps
     spans = done.groupBy(F.shiftright("step", 1).alias("index")).agg(F.max("downs").alias("from"), F.min("downs").alias("to"), F.max(F.when(F.pmod("step", F.lit(2)) == 0, -F.col("net"))).alias("depth"))
     total = done.agg(F.max("downs").alias("total"))  # one row
@@ -85,41 +87,45 @@ def intervals(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def heads(spans: DataFrame) -> DataFrame:
-    """(enter, head) of intervals: the top of each node's heavy path, which goes on to the child with most nodes below."""
-    count = spans.count()
-    tasks = max(1, math.ceil(count / TASK_ROWS))
-    heavy = spans.filter("up IS NOT NULL").groupBy("up").agg(F.max_by("enter", F.struct("size", F.negative("enter"))).alias("enter")).select("enter", F.lit(True).alias("heavy"))
-    tops = spans.join(heavy, "enter", "left").select("enter", F.when(F.col("heavy"), F.col("up")).alias("following"), F.when(F.col("heavy").isNull(), F.col("enter")).otherwise(0).alias("head"))
-    # of a path only the top has a number, so the sum is that
-    return _doubled(tops, "enter", "following", ["head"], count.bit_length() + 2, tasks)[0].select("enter", "head")
+def range_minima(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(first, last, ...) with `least`, the least v of values(place, v) from first to last; places go from 0 without gaps. Null for an empty range.
+
+    A range is the end of its first block of SPAN places, the start of its last one, and whole blocks
+    between them, which are a range of the blocks' minima: log(places) by SPAN passes over the ranges, of
+    which all but the first join a table SPAN times as small.
+    """
+    names = ranges.columns
+    rows = ranges.select("*", F.col("first").cast("bigint").alias("__first"), F.col("last").cast("bigint").alias("__last"), F.lit(None).cast("bigint").alias("least"))
+    empty = F.col("__first") > F.col("__last")
+    of = lambda c: F.floor(F.col(c) / SPAN)
+    place = lambda c: (F.pmod(F.col(c), F.lit(SPAN)) + 1).cast("int")
+    while True:
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"])  # at most SPAN
+        blocks = written(values.groupBy(of("place").alias("block")).agg(listed.alias("list")))
+        count = blocks.count()
+        table = F.broadcast(blocks) if count <= SMALL_BLOCKS else blocks
+        kept = [*names, "__first", "__last", "least"]
+        head = F.array_min(F.slice("list", place("__first"), F.least(F.lit(SPAN), F.col("__last") - F.col("__first") + 1).cast("int")))
+        rows = rows.withColumn("block", of("__first")).join(table, "block", "left").select(*kept, F.when(~empty, head).alias("__head"))
+        if count == 1:
+            return rows.select(*names, F.least("least", "__head").alias("least"))
+        tail = F.array_min(F.slice("list", F.lit(1), place("__last")))
+        rows = rows.withColumn("block", of("__last")).join(table, "block", "left").select(
+            *names, (of("__first") + 1).alias("__first"), (of("__last") - 1).alias("__last"), F.least("least", "__head", F.when(~empty & (of("__first") < of("__last")), tail)).alias("least")
+        )
+        values = blocks.select(F.col("block").alias("place"), F.array_min("list").alias("v"))
 
 
 def common_ancestors(spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(enter, n): how many of pairs(a, b, n), places with a <= b in one tree, have each place as lowest common ancestor.
+    """(enter, n): how many of pairs(a, b, n), places with a <= b, have each place as lowest common ancestor; pairs in two trees have none.
 
-    A pair within one subtree is known at once; others climb from heavy path to heavy path, at most
-    log2(nodes) times, and only those that haven't met go on.
+    It is the least parent of the places after a up to b: they lie below it, and its child above b is one of them.
     """
-    near = pairs.join(spans.select(F.col("enter").alias("a"), "size"), "a")
-    met, left = written_in_two(near.select("a", "b", "n", "size"), F.col("b") < F.col("a") + F.col("size"))
-    found = (pairs.limit(0) if met is None else met).select(F.col("a").alias("enter"), "n")
-    if left is None:
-        return found.groupBy("enter").agg(F.sum("n").alias("n"))
-    left = left.select("a", "b", "n")
-    tops = heads(spans)
-    top = spans.select(F.col("enter").alias("head"), F.col("depth").alias("top"), F.col("up").alias("above"))
-    known = written(tops.join(top, "head"))
-    end = lambda side: known.select(F.col("enter").alias(side), F.col("head").alias(f"{side}_head"), F.col("top").alias(f"{side}_top"), F.col("above").alias(f"{side}_above"))
-    while True:
-        both = left.join(end("a"), "a").join(end("b"), "b")
-        met, apart = written_in_two(both, F.col("a_head") == F.col("b_head"))
-        if met is not None:
-            found = found.unionByName(met.select(F.least("a", "b").alias("enter"), "n"))
-        if apart is None:
-            return found.groupBy("enter").agg(F.sum("n").alias("n"))
-        lower = F.col("a_top") >= F.col("b_top")
-        left = apart.select(F.when(lower, F.col("a_above")).otherwise(F.col("a")).alias("a"), F.when(lower, F.col("b")).otherwise(F.col("b_above")).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    if spans.isEmpty():
+        return pairs.limit(0).select(F.col("a").alias("enter"), "n")
+    parents = spans.select(F.col("enter").alias("place"), F.coalesce("up", F.lit(-1)).alias("v"))
+    found = range_minima(parents, pairs.select("a", "n", (F.col("a") + 1).alias("first"), F.col("b").alias("last")))
+    return found.select(F.coalesce("least", "a").alias("enter"), "n").filter("enter >= 0").groupBy("enter").agg(F.sum("n").alias("n"))
 
 
 def running(rows: DataFrame, n: Column) -> DataFrame:
@@ -154,16 +160,8 @@ def distinct_in_subtrees(spans: DataFrame, membership: DataFrame) -> DataFrame:
     Neighbours are rows with consecutive numbers, so no item's occurrences meet in one task.
     """
     placed = indexed(membership.select("id", "item_key").distinct().join(spans.select("id", "enter"), "id").select("item_key", "enter"), ["item_key", "enter"])
-    placed = written(placed)
     before = placed.select((F.col("index") + 1).alias("index"), F.col("item_key").alias("same"), F.col("enter").alias("a"))
     pairs = placed.join(before, "index").filter(F.col("same").eqNullSafe(F.col("item_key"))).groupBy("a", F.col("enter").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    less = common_ancestors(spans, _in_one_tree(spans, pairs))
+    less = common_ancestors(spans, pairs)
     values = placed.groupBy("enter").agg(F.count(F.lit(1)).alias("n")).unionByName(less.select("enter", (-F.col("n")).alias("n"))).groupBy("enter").agg(F.sum("n").alias("n"))
     return subtree_sums(spans, values).join(spans.select("enter", "id"), "enter").select("id", F.col("total").alias("n"))
-
-
-def _in_one_tree(spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose two places lie in one tree; a tree's number is that of the roots up to a place."""
-    trees = written(running(spans, F.when(F.col("depth") == 0, 1).otherwise(0)).select("enter", F.col("upto").alias("tree")))
-    both = pairs.join(trees.select(F.col("enter").alias("a"), F.col("tree").alias("ta")), "a").join(trees.select(F.col("enter").alias("b"), F.col("tree").alias("tb")), "b")
-    return both.filter("ta = tb").select("a", "b", "n")

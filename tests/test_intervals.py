@@ -70,6 +70,27 @@ def test_common_ancestors(spark):
     assert {r["enter"]: r["n"] for r in found.collect()} == wanted
 
 
+@pytest.mark.parametrize("small", [0, 100])
+def test_range_minima(spark, monkeypatch, small):
+    # blocks of three in four levels, shuffled or broadcast
+    monkeypatch.setattr(intervals, "SPAN", 3)
+    monkeypatch.setattr(intervals, "SMALL_BLOCKS", small)
+    random.seed(small)
+    v = [random.randrange(1000) for _ in range(50)]
+    wanted = {(i, j): min(v[i : j + 1], default=None) for i in range(50) for j in range(i - 1, 50, 1 + i % 3)}
+    found = intervals.range_minima(spark.createDataFrame(list(enumerate(v)), "place bigint, v bigint"), spark.createDataFrame(list(wanted), "first bigint, last bigint"))
+    assert {(r["first"], r["last"]): r["least"] for r in found.collect()} == wanted
+
+
+def test_many_memberships_of_a_shallow_tree_are_not_multiplied(spark, monkeypatch):
+    monkeypatch.setattr(tree, "COUNTED_ROWS", 10)
+    asked = []
+    monkeypatch.setattr(tree, "distinct_in_subtrees", lambda *a: asked.append(a) or intervals.distinct_in_subtrees(*a))
+    nodes, members = _forest(3)
+    found = tree.subtree_item_counts(spark.createDataFrame(nodes, "id bigint, parent bigint"), spark.createDataFrame(members, "id bigint, item_key string"))
+    assert {r["id"]: r["item_count"] for r in found.collect()} == _plain(nodes, members)[2] and asked
+
+
 def test_long_chain(spark):
     n = 20_000
     nodes = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
