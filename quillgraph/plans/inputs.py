@@ -38,9 +38,15 @@ def records_with_arrays(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).join(refs, "item_key", "left").withColumn("citingWorks", F.when(F.col("cited_by") % 3 == 0, F.col("references")))
 
 
+def reference_links(spark: SparkSession, d: str) -> DataFrame:
+    """(item_key, ref_pos, id, l_partkey) of mapped records, without what is known of the parts."""
+    lines = table(spark, d, "lineitem").select(paper("l_orderkey").alias("item_key"), F.col("l_linenumber").alias("ref_pos"), "l_partkey")
+    mapped = records(spark, d).filter("status = 'mapped'").select("item_key")
+    return lines.join(mapped, "item_key").select("item_key", "ref_pos", work().alias("id"), "l_partkey")
+
+
 def references(spark: SparkSession, d: str) -> DataFrame:
     """(item_key, ref_pos, id, ...) of mapped records: lines of orders, with what is known of their parts."""
-    lines = table(spark, d, "lineitem").select(paper("l_orderkey").alias("item_key"), F.col("l_linenumber").alias("ref_pos"), "l_partkey")
     works = table(spark, d, "part").select(
         "p_partkey",
         F.col("p_name").alias("title"),
@@ -50,8 +56,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_size").cast("bigint").alias("cited_by"),
     )
     known = works.filter("p_size <= 40")  # the rest can't be resolved
-    mapped = records(spark, d).filter("status = 'mapped'").select("item_key")
-    return lines.join(mapped, "item_key").join(known, F.col("l_partkey") == F.col("p_partkey"), "left").select("item_key", "ref_pos", work().alias("id"), "title", "year", "date", "doi", "cited_by")
+    return reference_links(spark, d).join(known, F.col("l_partkey") == F.col("p_partkey"), "left").select("item_key", "ref_pos", "id", "title", "year", "date", "doi", "cited_by")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import citations, components, jobs, library, matching, narration, timeline, tree
+from ..operators.intervals import TASK_ROWS
 from ..sources.tables import table
-from ..storage import written
+from ..storage import dealt, written
 from ..streaming import records as incremental
 from . import inputs as I
 
@@ -67,7 +68,7 @@ def _plain_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return citations.map_edges(I.selection(spark, d), I.references(spark, d))
+    return citations.map_edges(I.selection(spark, d), I.reference_links(spark, d))
 
 
 @query(
@@ -80,7 +81,8 @@ SELECT id, CASE WHEN min(p_size) <= 40 THEN min(p_name) ELSE id END, 'external',
 FROM ref JOIN part ON p_partkey = l_partkey GROUP BY id"""
 )
 def references_map_nodes(spark, d):
-    return _nodes(spark, d)
+    with dealt(spark, table(spark, d, "lineitem").count() / TASK_ROWS):
+        return written(_nodes(spark, d))
 
 
 @query(f"WITH {_EDGES} SELECT source, target FROM edge")
@@ -370,7 +372,7 @@ SELECT id, round(-440 + (year - low) / CASE WHEN high <> low THEN high - low ELS
 FROM l, e WHERE year IS NOT NULL"""
 )
 def timeline_positions(spark, d):
-    nodes = written(_plain_nodes(spark, d))
+    nodes = written(_plain_nodes(spark, d).select("id", "type", "year", "date"))
     return timeline.timeline_positions(nodes, timeline.timeline_years(nodes, _edges(spark, d))).select("id", F.round("x", 6).alias("x"), "y")
 
 
