@@ -102,17 +102,18 @@ def job_machine(spark, d):
 def _supplier_citers(spark, d):
     """(request, rank, id): suppliers as works, the orders that cite them by their number of citations."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cited_by"))
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct().join(o, "l_orderkey")
+    # dealt by order once, for the distinct rows and the join, and by request once, for ranks and pages
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").repartition("l_orderkey")
+    rows = lines.distinct().join(o, "l_orderkey").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("request"), "cited_by", "l_orderkey")
     # a service sorts each answer; 600 lines a supplier at any size
-    order = Window.partitionBy("l_suppkey").orderBy(F.desc("cited_by"), "l_orderkey")
-    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("request"), F.row_number().over(order).alias("rank"), F.concat(F.lit("W"), F.col("l_orderkey").cast("string")).alias("id"), "l_suppkey")
+    order = Window.partitionBy("request").orderBy(F.desc("cited_by"), "l_orderkey")
+    return rows.select("request", F.row_number().over(order).alias("rank"), F.concat(F.lit("W"), F.col("l_orderkey").cast("string")).alias("id"))
 
 
 def _pages(spark, d):
     """(requests, pages) of a recording in which some pages fail once or for good, some answers go on to an empty page, and some suppliers are unknown."""
-    results = _supplier_citers(spark, d).filter("l_suppkey % 7 <> 0").drop("l_suppkey")
-    pages = lookups.paged(results)
     n = F.substring("request", 2, 20).cast("bigint")
+    pages = lookups.paged(_supplier_citers(spark, d).filter(n % 7 != 0))
     empty = (n % 5 == 1) & (F.col("page") == 1)
     fails = F.when((n % 11 == 2) & (F.col("page") == 1), lookups.ATTEMPTS).otherwise(F.pmod(n + F.col("page"), F.lit(3))).cast("int")
     pages = pages.select(

@@ -304,3 +304,15 @@ def test_containment(spark):
     found = {(r["s"], r["whole"]) for r in matching.contained(frame(inner | {"😀"}), frame(outer)).collect()}
     assert found == {(s, w) for s in inner | {"😀"} for w in outer if s in w}
     assert spark.range(1).select(X.contains_either(F.lit("ab"), F.lit("b"))).first()[0]
+
+
+def test_pages_are_dealt_by_order_and_request_alone(spark):
+    import re
+
+    from helpers import DATA
+
+    from quillgraph.plans import live
+
+    plan = live._pages(spark, DATA)[1]._jdf.queryExecution().executedPlan().toString()
+    keys = [re.sub(r"#\w+", "", k).split(", ")[:-1] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert keys and all(k in (["l_orderkey"], ["o_orderkey"], ["request"]) for k in keys)
