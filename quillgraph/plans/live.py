@@ -230,8 +230,8 @@ def cache_round_trip(spark, d):
     works = table(spark, d, "part").filter("p_size <= 40").select(I.work("p_partkey").alias("id"), F.concat(F.lit("found "), F.col("p_name")).alias("title"))
     variants.write_lines(variants.resolved(variants.read_lines(spark, f"{root}/first"), works), f"{root}/second")
     again = variants.read_lines(spark, f"{root}/second")
-    notes = again.select("item_key", F.try_variant_get("record", "$.note", "string").alias("note"))
-    return variants.entries(again).select("item_key", "ref_pos", "id", "bare", "title", F.try_variant_get("entry", "$.venue", "string").alias("venue")).join(notes, "item_key")
+    noted = again.withColumn("note", F.try_variant_get("record", "$.note", "string"))
+    return variants.entries(noted, more="venue:string").select("item_key", "ref_pos", "id", "bare", "title", "venue", "note")
 
 
 @query(

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(item_key, record) of a cache with one {"item_key": ..., ...} a line; lines that can't be parsed or have no key are left out."""
-    parsed = spark.read.text(path).select(F.try_parse_json("value").alias("record"))
-    return parsed.select(F.try_variant_get("record", "$.item_key", "string").alias("item_key"), "record").filter("item_key IS NOT NULL")
+    key = lambda record: F.try_variant_get(record, "$.item_key", "string")
+    # not a filter over a parsed column: pushed below it, it would parse each line a second time
+    parsed = spark.read.text(path).select(F.explode(F.filter(F.array(F.try_parse_json("value")), lambda r: key(r).isNotNull())).alias("record"))
+    return parsed.select(key("record").alias("item_key"), "record")
 
 
 def write_lines(records: DataFrame, path: str) -> None:
@@ -31,23 +33,37 @@ def _list(record: Column, column: str) -> Column:
     return F.coalesce(F.try_variant_get(record, f"$.{column}", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def entries(records: DataFrame, column: str = "references") -> DataFrame:
-    """(item_key, ref_pos, id, bare, title, year, citedBy, entry) of every entry; null ids stay. Fields of another type are null."""
+def entries(records: DataFrame, column: str = "references", more: str = "") -> DataFrame:
+    """(item_key, further columns of records, ref_pos, id, bare, title, year, citedBy, fields of `more`, entry) of every entry; null ids stay.
+
+    more: further fields as "name:type,...". Fields of another type are null.
+    """
     e = F.col("entry")
-    rows = records.select("item_key", F.posexplode(_list(F.col("record"), column)).alias("ref_pos", "entry"))
-    field = lambda name, kind: F.when(~_bare(e), F.try_variant_get(e, f"$.{name}", kind)).alias(name)
-    return rows.select("item_key", "ref_pos", F.when(_bare(e), F.try_variant_get(e, "$", "string")).otherwise(F.try_variant_get(e, "$.id", "string")).alias("id"), _bare(e).alias("bare"), field("title", "string"), field("year", "int"), field("citedBy", "bigint"), "entry")
+    kept = [c for c in records.columns if c != "record"]
+    rows = records.select(*kept, F.posexplode(_list(F.col("record"), column)).alias("ref_pos", "entry")).select("*", _bare(e).alias("bare"))
+    # one look for all fields: a path that leads nowhere costs more than all of them
+    seen = rows.select("*", F.when(~F.col("bare"), F.try_variant_get(e, "$", f"struct<id:string,title:string,year:int,citedBy:bigint{more and ','}{more}>")).alias("f"))
+    named = F.when(F.col("bare"), F.try_variant_get(e, "$", "string")).otherwise(F.col("f.id"))
+    return seen.select(*kept, "ref_pos", named.alias("id"), "bare", *(F.col(f"f.{c}") for c in seen.schema["f"].dataType.names[1:]), "entry")
 
 
 def resolved(records: DataFrame, works: DataFrame, column: str = "references") -> DataFrame:
-    """records in whose list bare ids that works(id, ...) knows have become objects of its columns; all else is as it was."""
-    e = F.col("entry")
-    rows = records.select("item_key", F.posexplode(_list(F.col("record"), column)).alias("ref_pos", "entry"))
-    known = works.select(F.col("id").alias("__id"), F.to_variant_object(F.struct(*works.columns)).alias("__work"))
-    named = rows.withColumn("__id", F.when(_bare(e), F.try_variant_get(e, "$", "string"))).join(known, "__id", "left")
-    # a list is an item's own and as long as it was
-    lists = named.groupBy("item_key").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ref_pos", F.to_json(F.coalesce("__work", "entry")).alias("json")))), lambda x: F.parse_json(x["json"]))).alias("__list"))
-    fields = F.try_variant_get("record", "$", "map<string,variant>")
-    changed = F.map_concat(F.map_filter(fields, lambda k, v: k != column), F.create_map(F.lit(column), F.parse_json("__list")))
-    joined = records.join(lists, "item_key", "left")
-    return joined.select("item_key", F.when(F.col("__list").isNull(), F.col("record")).otherwise(F.to_variant_object(changed)).alias("record"))
+    """records in whose list bare ids that works(id, ...) knows have become objects of its columns; all else is as it was.
+
+    Only bare ids travel to the works, and only found works to the records; objects never leave their record.
+    """
+    named = lambda e: F.when(_bare(e), F.try_variant_get(e, "$", "string"))
+    asked = records.select("item_key", F.posexplode(F.transform(_list(F.col("record"), column), named)).alias("ref_pos", "__id")).filter("__id IS NOT NULL")
+    known = works.select(F.col("id").alias("__id"), F.to_variant_object(F.struct(*works.columns)).alias("work"))
+    # an item's found works are as many as its own bare ids
+    found = asked.join(known, "__id").groupBy("item_key").agg(F.collect_list(F.struct("ref_pos", F.col("__id").alias("id"), "work")).alias("__found"))
+    joined = records.join(found, "item_key", "left").withColumn("__list", F.when(F.col("__found").isNotNull(), _list(F.col("record"), column)))
+    # places in order, each as itself and then as the works found for it: the last of a place counts
+    own = F.transform("__list", lambda e, i: F.struct(i.alias("pos"), F.lit(-1).alias("n")))
+    hit = F.transform("__found", lambda w, n: F.struct(w["ref_pos"].alias("pos"), F.when(named(F.get("__list", w["ref_pos"])) == w["id"], n).alias("n")))
+    placed = joined.withColumn("__order", F.sort_array(F.concat(own, F.filter(hit, lambda o: o["n"].isNotNull()))))
+    last = F.filter("__order", lambda o, k: ~F.coalesce(F.get("__order", k + 1)["pos"] == o["pos"], F.lit(False)))
+    done = F.transform(last, lambda o: F.when(o["n"] < 0, F.get("__list", o["pos"])).otherwise(F.get("__found", o["n"])["work"]))
+    whole = F.try_variant_get("record", "$", "map<string,variant>")
+    changed = F.map_concat(F.map_filter(whole, lambda k, v: k != column), F.create_map(F.lit(column), F.to_variant_object(done)))
+    return placed.select("item_key", F.when(F.col("__found").isNull(), F.col("record")).otherwise(F.to_variant_object(changed)).alias("record"))
