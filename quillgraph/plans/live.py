@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import matching, tree
 from ..sources import lookups, snapshots, variants
 from ..sources.tables import table
-from ..storage import new_store
+from ..storage import dealt, new_store
 from ..streaming import machine
 from ..streaming.maps import IncrementalMap
 from . import inputs as I
@@ -17,6 +17,9 @@ from .queries import query
 #: Batches that the log of records arrives in; an event's number decides, so that older versions also come after newer ones.
 BATCHES = 4
 
+#: Lines of orders that a task of a written cache takes: some MB of a shuffle.
+LINES_A_TASK = 100_000
+
 
 def _incremental(spark, d):
     log = I.record_log(spark, d)
@@ -226,9 +229,10 @@ def cache_round_trip(spark, d):
     lists = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", raw.alias("raw")))), lambda e: e["raw"]), ",").alias("refs"))
     text = F.concat(F.lit('{"item_key":"o'), F.col("l_orderkey").cast("string"), F.lit('","note":"kept '), (F.col("l_orderkey") % 5).cast("string"), F.lit('","references":['), F.col("refs"), F.lit("]}"))
     root = new_store(spark)
-    lists.select(text.alias("value")).write.text(f"{root}/first")
     works = table(spark, d, "part").filter("p_size <= 40").select(I.work("p_partkey").alias("id"), F.concat(F.lit("found "), F.col("p_name")).alias("title"))
-    variants.write_lines(variants.resolved(variants.read_lines(spark, f"{root}/first"), works), f"{root}/second")
+    with dealt(spark, table(spark, d, "lineitem").count() / LINES_A_TASK):
+        lists.select(text.alias("value")).write.text(f"{root}/first")
+        variants.write_lines(variants.resolved(variants.read_lines(spark, f"{root}/first"), works), f"{root}/second")
     again = variants.read_lines(spark, f"{root}/second")
     noted = again.withColumn("note", F.try_variant_get("record", "$.note", "string"))
     return variants.entries(noted, more="venue:string").select("item_key", "ref_pos", "id", "bare", "title", "venue", "note")
